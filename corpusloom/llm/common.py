@@ -94,3 +94,8 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows:
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of whole texts stay within a few MB; a single text is never split."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

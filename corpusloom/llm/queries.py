@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import exact_dedup, minhash, mixing
+from corpusloom.llm import exact_dedup, minhash, mixing, suffix_dedup
 from corpusloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +24,15 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }
 
 _OP1_SQL = r"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import exact_dedup, minhash, mixing, suffix_dedup
+from corpusloom.llm import exact_dedup, minhash, mixing, suffix_dedup, topk
 from corpusloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(read(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op5_exact_top_k": op5_exact_top_k,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
@@ -89,4 +94,16 @@ select doc_id, size, source_size, target,
 from run
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": _OP1_SQL, "op8_source_mixing": _OP8_SQL}
+_OP5_SQL = """
+with e as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, e.vec_id, cast(list_inner_product(q.v, e.v) as bigint) as score
+  from e q join e on q.vec_id <> e.vec_id where q.vec_id % 50 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from s qualify rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": _OP1_SQL, "op5_exact_top_k": _OP5_SQL, "op8_source_mixing": _OP8_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import exact_dedup, minhash, mixing, suffix_dedup, topk
+from corpusloom.llm import exact_dedup, langid, minhash, mixing, quality, suffix_dedup, topk
 from corpusloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -24,6 +28,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(read(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
@@ -34,8 +42,10 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
 }

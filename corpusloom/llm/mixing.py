@@ -35,7 +35,7 @@ def word_count(text: Column) -> Column:
     return F.when(text.rlike(f"[^{WS}]"), F.length(marks)).otherwise(0).cast("long")
 
 
-def _slim(docs: DataFrame) -> DataFrame:
+def _slim(docs: DataFrame, *more: Column) -> DataFrame:
     text = text_or_empty()
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), text))
     return docs.select(
@@ -43,9 +43,15 @@ def _slim(docs: DataFrame) -> DataFrame:
         "source",
         word_count(text).alias("size"),
         F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("h"),
+        *more,
     )
 
 
+def _keyed(slim: DataFrame) -> DataFrame:
+    """A key that tells a null source from any other."""
+    return slim.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).drop("source")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, target from one row per source (source, source_size)."""
     order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
@@ -71,19 +77,19 @@ def _prefix(level: int) -> Column:
     return F.shiftright(F.col("h"), BITS * (LEVELS - level))
 
 
-def plan(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, h, source_size, target, copies: one row per document."""
-    base = stash(_slim(docs), "sizes")
+def thresholds(slim: DataFrame) -> tuple[DataFrame, int]:
+    """key, source_size, target, passes, limit: one row per source, and their number."""
+    base = slim
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = stash(
         targets(sizes)
         .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-        .withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))),
+        .transform(_keyed),
         "targets",
     )
     n = goal.count()
-    keyed = base.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
+    keyed = _keyed(base)
     # The bound: every hash under it is within the remainder; at first, none is.
     edge = goal.select("key", F.col("rest"), F.lit(0).cast("long").alias("bound"), F.lit(0).cast("long").alias("below"))
     run = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
@@ -111,10 +117,25 @@ def plan(docs: DataFrame) -> DataFrame:
     nearer = (F.col("below") + F.col("mass") - F.col("rest")) <= (F.col("rest") - F.col("below"))
     limit = edge.select("key", F.when(F.col("bound").isNull(), -1).otherwise(F.col("bound") + nearer.cast("long")).alias("limit"))
     final = goal.join(limit, "key").select("key", "source_size", "target", "passes", "limit")
+    return stash(final, "thresholds"), n
+
+
+def _with_copies(keyed: DataFrame, final: DataFrame, n: int) -> DataFrame:
     extra = F.when(F.col("h") < F.col("limit"), 1).otherwise(0)
-    return small_join(keyed, final, ["key"], "inner", n).withColumn("copies", F.col("passes") + extra).drop("key", "passes", "limit")
+    return small_join(keyed, final, ["key"], "inner", n).withColumn("copies", F.col("passes") + extra)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per document."""
-    return plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    slim = stash(_slim(docs), "sizes")
+    final, n = thresholds(slim)
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return _with_copies(_keyed(slim), final, n).select("doc_id", "size", "source_size", "target", taken)
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """docs with each row as often as the mix takes it, columns unchanged; texts are not shuffled."""
+    final, n = thresholds(stash(_slim(docs), "sizes"))
+    doc = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")
+    keyed = _keyed(_slim(docs, doc)).select("key", "h", "doc")
+    return _with_copies(keyed, final, n).filter("copies > 0").select(F.explode(F.array_repeat("doc", F.col("copies").cast("int"))).alias("doc")).select("doc.*")

@@ -6,16 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import exact_dedup, langid, minhash, mixing, quality, suffix_dedup, topk
+from corpusloom.llm import exact_dedup, langid, minhash, mixing, quality, secret_scan, sentence_pieces, suffix_dedup, token_count, topk
 from corpusloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The public sentencepiece file whose pieces operators 2, 3 and 10 use.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str, words: str = PIECES) -> DataFrame:
+    language = secret_scan.Language(secret_scan.read_words(words))
+    return secret_scan.scan(read(spark, sf_dir, "documents"), language, secret_scan.train(language))
+
+
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    return sentence_pieces.encode(read(spark, sf_dir, "documents"), model)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -40,14 +53,21 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES) -> DataFrame:
+    return token_count.report(read(spark, sf_dir, "documents"), token_count.read_vocabulary(vocabulary))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_sentence_pieces": op3_sentence_pieces,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
+    "op10_token_counts": op10_token_counts,
 }
 
 _OP1_SQL = r"""

@@ -3,7 +3,7 @@
 One pass over the texts makes each document's set of distinct 2-word shingles (64-bit hashes), 224
 minima, of which the low 2 bits are kept and packed into 7 longs, and 37 keys of 6 minima each.
 Documents with equal sets are one class from then on, so copies never meet each other. Classes that
-share a band key are candidates of the key's smallest class (a star, never all pairs); the packed
+share a band key are candidates of a few of the key's classes (stars, never all pairs); the packed
 signatures give a collision-corrected estimate by bit counts, and what could reach the threshold is
 confirmed on the full sets. Links of a star's members among themselves are looked for where one key
 still spans several components: there, and only there, members of different components are compared
@@ -31,8 +31,10 @@ from corpusloom.llm.common import small_batches, stash
 from corpusloom.llm.components import connected
 
 MINIMA, ROWS, BANDS, LOW_BITS = 224, 6, 37, 2
-#: Confirmed links: PER_CENT * union <= 100 * intersection. Estimates are let through five deviations below.
-PER_CENT, SLACK = 80, 0.17
+#: Confirmed links: PER_CENT * union <= 100 * intersection. Estimates are let through 4.4 deviations below.
+PER_CENT, SLACK = 80, 0.14
+#: Centres of a key in the second round of stars.
+CENTRES = 8
 
 _RNG = np.random.default_rng(1709)
 _A = (_RNG.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -134,12 +136,15 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - differ / MINIMA) - chance) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs u, v whose full sets are similar enough; sets are made anew for their documents only."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    ids = nodes.join(wanted, "node").select(F.col("rep").alias("_rep")).distinct()
+def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, hashes: the full sets of the wanted classes, made anew from one document of each."""
+    ids = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct()
     needed = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    sets = stash(needed.select("text").mapInArrow(_sets, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
+    return stash(needed.select("text").mapInArrow(_sets, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs u, v whose full sets are similar enough."""
     both = F.size(F.array_intersect("a", "b"))
     return (
         pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
@@ -149,8 +154,55 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     )
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The signed documents, and the confirmed links between classes that connect all components."""
+def _placed(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """key, node, root of the keys that still hold more than one component."""
+    if roots is None:
+        return shared.withColumn("root", F.col("node"))
+    placed = stash(shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    return placed.join(mixed, "key", "left_semi")
+
+
+def _stars(placed: DataFrame, centres: int) -> DataFrame:
+    """u, v: each member of a key with some of the key's members (the smallest by as many hashes)."""
+    chosen = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")) for k in range(centres)]
+    centre = placed.groupBy("key").agg(F.array(*chosen).alias("c")).select("key", F.explode(F.array_distinct("c")).alias("c"))
+    pairs = placed.join(centre, "key").filter(F.col("root") != F.col("c.root"))
+    return pairs.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
+
+
+def _likely(pairs: DataFrame, sig: DataFrame, least: float) -> DataFrame:
+    return (
+        pairs.join(sig.alias("x"), F.col("u") == F.col("x.node"))
+        .join(sig.alias("y"), (F.col("v") == F.col("y.node")) & (estimate(F.col("x.sig"), F.col("y.sig")) >= least))
+        .select("u", "v")
+    )
+
+
+def _across(placed: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links u, v between members of one key in different components.
+
+    Rows without a likely partner leave first, by a semi-join; the others carry their full sets into
+    the join, whose condition looks at a pair in the least of its common keys only and confirms it
+    there, so that no row is made for a pair that is no link.
+    """
+    close = estimate(F.col("x.sig"), F.col("y.sig")) >= least
+    signed = stash(placed.join(nodes.select("node", "sig", "keys"), "node"), "mixed")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & close
+    some = signed.alias("x").join(signed.select("key", "root", "sig").alias("y"), apart, "left_semi")
+    full = stash(some.join(sets, "node"), "likely")
+    both = F.size(F.array_intersect("x.hashes", "y.hashes"))
+    linked = both * 100 >= (F.size("x.hashes") + F.size("y.hashes") - both) * PER_CENT
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    return (
+        full.alias("x")
+        .join(full.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & close & once & linked)
+        .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+    )
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The signed documents, and node, root of their classes' components (None: no two are linked)."""
     small_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text")
     signed = stash(slim.mapInArrow(_signed, _SIGNED.format(id=docs.schema["doc_id"].dataType.simpleString())), "signed")
@@ -159,40 +211,36 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "nodes",
     )
     members = nodes.select("node", F.explode("keys").alias("key"))
-    centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    star = members.join(centres, "key").filter("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
+    often = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    shared = stash(members.join(often, "key", "left_semi"), "shared")
     sig = nodes.select("node", "sig")
-    likely = estimate(F.col("x.sig"), F.col("y.sig")) >= PER_CENT / 100 - SLACK
-    star = stash(
-        star.join(sig.alias("x"), F.col("u") == F.col("x.node"))
-        .join(sig.alias("y"), (F.col("v") == F.col("y.node")) & likely)
-        .select("u", "v"),
-        "star",
-    )
-    first = stash(_confirmed(star, nodes, slim), "links")
-    roots = connected(first)
-    placed = nodes.select("node", "sig", "keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spread = stash(placed.select("node", "root", "sig", F.explode("keys").alias("key")).join(
-        members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        .groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key"),
-        "key", "left_semi"), "mixed")
-    across = (
-        spread.alias("x")
-        .join(spread.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & likely)
-        .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
-        .distinct()
-        .join(star, ["u", "v"], "left_anti")
-    )
-    across = stash(across, "across")
-    return signed, first if across.isEmpty() else first.unionByName(_confirmed(across, nodes, slim))
+    sets = _full_sets(shared.select("node").distinct(), nodes, slim)
+    roots = None
+    floor = PER_CENT / 100 - SLACK
+    # Stars first, from one centre and then from several, as they cost no more than their rows; then every
+    # pair of members that are still in different components.
+    for step in (
+        lambda p: _confirmed(_likely(_stars(p, 1), sig, floor), sets),
+        lambda p: _confirmed(_likely(_stars(p, CENTRES), sig, floor), sets),
+        lambda p: _across(p, nodes, sets, floor),
+    ):
+        placed = _placed(shared, roots)
+        if placed.isEmpty():
+            break
+        found = stash(step(placed), "links")
+        if not found.isEmpty():
+            if roots is not None:
+                found = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+            roots = connected(found)
+    return signed, roots
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
-    signed, found = links(docs)
-    roots = connected(found)
-    slim = signed.select("doc_id", "n_shingles", "node")
-    named = slim.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    signed, roots = links(docs)
+    named = signed.select("doc_id", "n_shingles", "node").withColumn("root", F.col("node"))
+    if roots is not None:
+        named = named.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
     out = named.filter("root is not null").join(least, "root").unionByName(named.filter("root is null").withColumn("least", F.col("doc_id")))
     return out.select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))

@@ -14,7 +14,7 @@ def visits(log: DataFrame, who: str = "user_id", node: str = "event_type", ts: s
 
 def windowed_counts(log: DataFrame, node: str = "event_type", ts: str = "ts", width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Visits per node and time window; a window's state goes once the watermark has passed it."""
-    return log.withWatermark(ts, late).groupBy(F.window(ts, width), node).agg(F.count("*").alias("visits")).select("window.start", "window.end", node, "visits")
+    return log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width), node).agg(F.count("*").alias("visits")).select("window.start", "window.end", node, "visits")
 
 
 def run_once(source: DataFrame, checkpoint: str, table: str, mode: str = "complete") -> DataFrame:

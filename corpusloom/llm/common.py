@@ -67,6 +67,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 
+def fresh(base: str, columns: list[str]) -> str:
+    """A column name that is not taken, whatever the case of those that are."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base = "_" + base
+    return base
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, under which no name can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import squeezed, stash, text_or_empty
+from corpusloom.llm.common import squeezed, stash, text_or_empty, whole_row
 
 #: Candidates that are verified, and counters that each sketch may hold.
 HEAVY_SLOTS, COUNTERS = 1024, 8192
@@ -86,11 +86,12 @@ def keep_first(docs: DataFrame, heavy_slots: int = HEAVY_SLOTS, counters: int =
     )
     heavy = winners.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_heavy"), F.lit(True).alias("_hot"))
     tagged = (
-        docs.withColumn("_digest", F.sha2(squeezed(text_or_empty()), 256))
+        docs.select(whole_row(docs).alias("doc"), F.sha2(squeezed(text_or_empty()), 256).alias("_digest"))
         .join(F.broadcast(heavy), "_digest", "left")
-        .filter(F.col("_hot").isNull() | F.col("doc_id").eqNullSafe(F.col("_heavy")))
+        .filter(F.col("_hot").isNull() | F.col("doc.doc_id").eqNullSafe(F.col("_heavy")))
     )
-    met = tagged.join(keepers.hint("shuffle_hash"), "_digest").filter(F.expr("coalesce(doc_id = _keep, doc_id is null and _keep is null)"))
+    same = F.expr("coalesce(doc.doc_id = _keep, doc.doc_id is null and _keep is null)")
+    met = tagged.join(keepers.hint("shuffle_hash"), "_digest").filter(same)
     if not keepers.filter("_rows > 1").isEmpty():  # rows with both the same id and the same text: one of each stays
         met = met.filter("_rows = 1").unionByName(met.filter("_rows > 1").dropDuplicates(["_digest"]))
-    return met.select(*docs.columns)
+    return met.select("doc.*")

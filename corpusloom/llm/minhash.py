@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
-from corpusloom.llm.common import small_batches, stash
+from corpusloom.llm.common import small_batches, stash, whole_row
 from corpusloom.llm.components import connected
 
 MINIMA, ROWS, BANDS, LOW_BITS = 224, 6, 37, 2
@@ -248,5 +248,6 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, columns unchanged; rows without any word stay."""
-    kept = report(docs).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = report(docs).filter("kept").select("doc_id")
+    rows = docs.select(whole_row(docs).alias("doc"))
+    return rows.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")), "left_semi").select("doc.*")

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WS, small_join, stash, text_or_empty
+from corpusloom.llm.common import WS, small_join, stash, text_or_empty, whole_row
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, CAP = 1.5, 2.0
@@ -136,6 +136,5 @@ def report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it, columns unchanged; texts are not shuffled."""
     final, n = thresholds(stash(_slim(docs), "sizes"))
-    doc = F.struct(*[F.col(c) for c in docs.columns]).alias("doc")
-    keyed = _keyed(_slim(docs, doc)).select("key", "h", "doc")
+    keyed = _keyed(_slim(docs, whole_row(docs).alias("doc"))).select("key", "h", "doc")
     return _with_copies(keyed, final, n).filter("copies > 0").select(F.explode(F.array_repeat("doc", F.col("copies").cast("int"))).alias("doc")).select("doc.*")

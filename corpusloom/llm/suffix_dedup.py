@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
-from corpusloom.llm.common import small_batches, stash, text_or_empty
+from corpusloom.llm.common import fresh, small_batches, stash, text_or_empty, whole_row
 from corpusloom.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 100
@@ -261,9 +261,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    spans = stash(repeats(docs.select("doc_id", "text")), "spans").withColumnRenamed("digest", "_digest")
-    tagged = docs.withColumn("_digest", digest_of(text_or_empty()))
-    return tagged.join(spans, "_digest", "left").drop("_digest")
+    """docs and, as the last column, the spans to cut from each text."""
+    last = fresh("spans", docs.columns)
+    spans = stash(repeats(docs.select("doc_id", "text")), "spans").select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
+    tagged = docs.select(whole_row(docs).alias("doc"), digest_of(text_or_empty()).alias("_digest"))
+    return tagged.join(spans, "_digest", "left").select("doc.*", F.col("_spans").alias(last))
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -169,6 +169,7 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, sample: int = SAMPLE
     number = {k: i for i, k in enumerate(model.langs)}
     table = rows.toArrow()
     picked = [(number[k], b.values.to_numpy(), c.values.to_numpy()) for k, b, c in zip(table["lang"].to_pylist(), table["buckets"], table["counts"]) if len(b)]
+    picked.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))  # reruns see one order, whatever the partitions
     if picked:
         _train(model, picked)
     return model

@@ -62,9 +62,9 @@ atexit.register(release_stashes)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals whole rows out again when the files hold fewer partitions than there are cores."""
+    """Deals the rows of a table out again whose files make fewer tasks than there are cores; others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def fresh(base: str, columns: list[str]) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import exact_dedup, langid, minhash, mixing, quality, secret_scan, sentence_pieces, suffix_dedup, token_count, topk
-from corpusloom.llm.common import read
+from corpusloom.llm.common import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,15 +22,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str, words: str = PIECES) -> DataFrame:
     language = secret_scan.Language(secret_scan.read_words(words))
-    return secret_scan.scan(read(spark, sf_dir, "documents"), language, secret_scan.train(language))
+    return secret_scan.scan(spread(read(spark, sf_dir, "documents")), language, secret_scan.train(language))
 
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
-    return sentence_pieces.encode(read(spark, sf_dir, "documents"), model)
+    return sentence_pieces.encode(spread(read(spark, sf_dir, "documents")), model)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.report(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels"))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,11 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.report(read(spark, sf_dir, "documents"))
+    return minhash.report(spread(read(spark, sf_dir, "documents")))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.report(read(spark, sf_dir, "documents"))
+    return langid.report(spread(read(spark, sf_dir, "documents")))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +50,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.report(read(spark, sf_dir, "documents"))
+    return suffix_dedup.report(spread(read(spark, sf_dir, "documents")))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES) -> DataFrame:
-    return token_count.report(read(spark, sf_dir, "documents"), token_count.read_vocabulary(vocabulary))
+    return token_count.report(spread(read(spark, sf_dir, "documents")), token_count.read_vocabulary(vocabulary))
 
 
 QUERIES: dict[str, Query] = {

@@ -53,6 +53,12 @@ def any_chinese(c: Column) -> Column:
     return c.rlike(ANY_CHINESE)
 
 
+def translated(value: Column, names: dict[str, str]) -> Column:
+    """The name that stands for a value; the value itself where there is none."""
+    pairs = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.coalesce(F.element_at(pairs, value), value)
+
+
 def first_column_without_mark(names: list[str]) -> list[str]:
     """Column names without the byte-order mark that some CSV files begin with."""
     return [n.removeprefix("﻿") if i == 0 else n for i, n in enumerate(names)]

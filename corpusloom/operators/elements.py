@@ -195,3 +195,23 @@ def gesture(action: Column, width: int, height: int) -> Column:
         .when(kind.isin("PRESS_BACK", "PRESS_ENTER", "PRESS_HOME"), F.concat(F.lit("special_action("), kind, F.lit(")")))
         .when(kind == "STATUS_TASK_COMPLETE", "STATUS_TASK_COMPLETE")
     )
+
+
+def summary(inputs: Column, clicks: Column) -> Column:
+    """A sentence on what a page offers, blank entries left out."""
+    some = lambda c: F.filter(c, lambda x: stripped(x) != "")
+    i, c = some(inputs), some(clicks)
+    typed = F.when(F.size(i) > 0, F.concat(F.lit("Inputs: "), F.array_join(i, ", "), F.lit("."))).otherwise("No inputs.")
+    clicked = F.when(F.size(c) > 0, F.concat(F.lit("Clickable: "), F.array_join(c, ", "), F.lit("."))).otherwise("Nothing to click.")
+    return F.concat_ws(" ", typed, clicked)
+
+
+def task_prompt(goal: Column, history: Column, width: int, height: int) -> Column:
+    """A goal and the actions done so far, from the gestures' JSON; the last gesture is the one to predict."""
+    done = F.transform(F.slice(history, 1, F.greatest(F.size(history) - 1, F.lit(0))), lambda a: gesture(a, width, height))
+    return F.concat(F.lit("Task: "), goal, F.lit("\nDone so far:\n"), F.array_join(done, "\n"))
+
+
+def readdressed(command_: Column, old: str, new: str) -> Column:
+    """A device command for another address."""
+    return F.replace(command_, F.lit(old), F.lit(new))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,22 +90,23 @@ def scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
     return postings.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def _best_in_batches(names: list, vocabulary: dict[str, int], weights: np.ndarray, k1: float, b: float, avgdl: float):
+def _best_in_batches(names: list, vocabulary: list[str], weights: np.ndarray, k1: float, b: float, avgdl: float):
+    known = pa.array(vocabulary, pa.string())
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = np.full(len(names), -1.0)
         doc = np.full(len(names), np.iinfo(np.int64).max)
+        v = len(vocabulary)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at in range(0, len(ids), 256):
-                rows = batch.column(1).slice(at, 256).to_pylist()
-                tf = np.zeros((len(rows), len(vocabulary)))
-                for i, terms in enumerate(rows):
-                    for t, n in Counter(terms or []).items():
-                        j = vocabulary.get(t)
-                        if j is not None:
-                            tf[i, j] = n
-                size = np.array([len(t or []) for t in rows])[:, None]
-                hit = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / avgdl))
+                rows = batch.column(1).slice(at, 256)
+                size = np.array(pc.list_value_length(rows).fill_null(0))
+                terms = rows.flatten()
+                code = np.array(pc.index_in(terms, value_set=known).fill_null(-1))
+                cell = np.repeat(np.arange(len(rows)), size) * v + code
+                tf = np.bincount(cell[code >= 0], minlength=len(rows) * v).reshape(len(rows), v)
+                hit = tf * (k1 + 1) / (tf + (k1 * (1 - b + b * size / avgdl))[:, None])
                 score = np.round(hit @ weights, DIGITS)
                 here = ids[at : at + 256]
                 high = score.max(axis=0)
@@ -127,10 +129,12 @@ def best_documents(index: Bm25Index, queries: DataFrame, max_queries: int = MAX_
     small = len(asked) <= max_queries and len(asked) * len(vocabulary) <= max_cells and len(vocabulary)
     if small:
         n, avgdl = index.lengths().first()
-        known = F.array(*map(F.lit, vocabulary)) if len(vocabulary) <= 200 else None
-        frequencies = index.frequencies()
+        # Only the vocabulary's terms are counted, picked out of each document before anything is shuffled.
         words = index.docs.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string")
-        frequencies = frequencies.filter(F.array_contains(known, F.col("term"))) if known is not None else frequencies.join(F.broadcast(words), "term", "left_semi")
+        own = index.docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(words), "term", "left_semi")
+        frequencies = own.groupBy("term").agg(F.count("*").alias("df"))
+        if index.extra_df is not None:
+            frequencies = frequencies.unionByName(index.extra_df.join(F.broadcast(words), "term", "left_semi")).groupBy("term").agg(F.sum("df").alias("df"))
         df = {r.term: r.df for r in frequencies.collect()}  # no more than the vocabulary
         weights = np.zeros((len(vocabulary), len(asked)))
         for k, q in enumerate(asked):
@@ -139,7 +143,7 @@ def best_documents(index: Bm25Index, queries: DataFrame, max_queries: int = MAX_
                 weights[vocabulary[t], k] = m * np.log((n - d + 0.5) / (d + 0.5) + 1)
         names = [q.query_id for q in asked]
         found = index.docs.select("doc_id", "terms").mapInArrow(
-            _best_in_batches(names, vocabulary, weights, index.k1, index.b, avgdl or 1.0), "query_id long, doc_id long, score double"
+            _best_in_batches(names, list(vocabulary), weights, index.k1, index.b, avgdl or 1.0), "query_id long, doc_id long, score double"
         )
     else:
         first = index.docs.agg(F.min("doc_id").alias("doc_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import corpus, graph
-from corpusloom.plans.catalog import query, table
+from corpusloom.plans.catalog import query, spread, table
 from corpusloom.sources.files import decoded_twice, encoded_twice
 
 HELD_OUT = ["src1", "src7"]
@@ -103,7 +103,7 @@ def page_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = lambda w: F.md5(F.concat_ws("|", F.lit("s2"), F.col("doc_id").cast("string"), w))
     distinct = F.array_distinct(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     best = F.slice(F.array_sort(F.transform(distinct, lambda w: F.struct(h(w).alias("h"), w.alias("w")))), 1, 5)
-    return _docs(spark, sf_dir).select("doc_id", F.explode(best).alias("b")).select("doc_id", F.col("b.w").alias("word"))
+    return spread(_docs(spark, sf_dir)).select("doc_id", F.explode(best).alias("b")).select("doc_id", F.col("b.w").alias("word"))
 
 
 @query("""
@@ -164,7 +164,7 @@ def app_api_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = [r.name for r in names.limit(10_001).collect()]
     if len(known) > 10_000:
         raise ValueError("a catalogue of more than 10,000 names needs an equi-join on words")
-    rows = _docs(spark, sf_dir).select("doc_id", F.upper("text").alias("t"))
+    rows = spread(_docs(spark, sf_dir)).select("doc_id", F.upper("text").alias("t"))
     hits = F.filter(F.array(*map(F.lit, known)), lambda n: F.col("t").contains(n)) if known else F.array().cast("array<string>")
     return rows.select("doc_id", F.explode(hits).alias("name"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import geometry, metrics
 from corpusloom.functions.text import words
 from corpusloom.operators import corpus, elements
-from corpusloom.plans.catalog import query, table
+from corpusloom.plans.catalog import query, spread, table
 
 STOP = ["the", "and", "of", "to", "in", "is", "a", "die", "der", "und", "la", "de", "el", "les", "et"]
 
@@ -126,7 +126,7 @@ with {_SETS} select l_orderkey, cast(sum(len(t)) as int) as targets, round(coale
 """)
 def section_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled recall over three sections, read back from their printed form."""
-    i = table(spark, sf_dir, "lineitem")
+    i = spread(table(spark, sf_dir, "lineitem"))
     name = F.concat(F.lit("p"), (F.col("l_partkey") % 20).cast("string"))
     pick = lambda part, ok: F.collect_set(F.when((F.col("l_linenumber") % 3 == part) & ok, name))
     said, true = F.col("l_returnflag") != "A", F.col("l_linenumber") <= 5

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import elements, uitree
-from corpusloom.plans.catalog import query, table
+from corpusloom.plans.catalog import query, spread, table
 from corpusloom.sources.files import data_url
 
 TEXTS = ["hello", "42"]
@@ -66,7 +66,7 @@ def link_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return uitree.parsed(table(spark, sf_dir, "pages"), "page_id", "html", soup=True)
+    return uitree.parsed(spread(table(spark, sf_dir, "pages")), "page_id", "html", soup=True)
 
 
 @query()

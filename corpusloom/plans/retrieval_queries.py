@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import kept_lines, lines, words
 from corpusloom.operators import canonical, retrieval
 from corpusloom.operators.retrieval import Bm25Index
-from corpusloom.plans.catalog import query, table
+from corpusloom.plans.catalog import query, spread, table
 
 _WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 _LINES = r"regexp_split_to_array(regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), '\n')"
 
 
 def _index(spark: SparkSession, sf_dir: str, terms=words) -> Bm25Index:
-    return Bm25Index(table(spark, sf_dir, "documents").select("doc_id", terms(F.col("text")).alias("terms")))
+    return Bm25Index(spread(table(spark, sf_dir, "documents")).select("doc_id", terms(F.col("text")).alias("terms")))
 
 
 def _queries(spark: SparkSession, sf_dir: str, terms=words) -> DataFrame:
@@ -86,7 +86,7 @@ p as (select x.doc_id as a, y.doc_id as b, x.n as na, y.n as nb, count(*) as com
 select a, b, common, round(common / (na + nb - common), 6) as jaccard from p where common / (na + nb - common) > 0.5
 """)
 def line_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = retrieval.line_sets(table(spark, sf_dir, "documents"), lines(F.col("text")))
+    sets = retrieval.line_sets(spread(table(spark, sf_dir, "documents")), lines(F.col("text")))
     return retrieval.jaccard_pairs(sets, 0.5).select("a", "b", "common", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -99,7 +99,7 @@ select doc_id, saved, n, hits, round(hits / n, 6) as share, round(hits / m, 6) a
 """)
 def line_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document its source's first document holds."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", lines(F.col("text")).alias("code"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "source", lines(F.col("text")).alias("code"))
     first = docs.groupBy(F.col("source").alias("s")).agg(F.min_by(F.struct(F.col("doc_id").alias("saved"), F.col("code").alias("held")), "doc_id").alias("f"))
     c = retrieval.containment(F.col("f.held"), F.col("code"))
     met = docs.join(first, F.col("source") == F.col("s")).select("doc_id", "f.saved", c.alias("c"))
@@ -156,7 +156,7 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     5-word window of each benchmark text and are then verified; benchmark texts of fewer words are
     compared directly.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     bench = table(spark, sf_dir, "benchmark").filter("text is not null").select("text").distinct()
     w = words(F.col("text"))
     # The first and last word of a benchmark text may be part of longer words in a document; inner ones may not.
@@ -164,6 +164,8 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     five = docs.select("doc_id", w.alias("w")).filter(F.size("w") >= 5)
     grams = five.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.concat_ws(" ", F.slice("w", i, 5))))).alias("key"))
     keyed = inner.filter("key is not null").select("key", F.col("text").alias("held"))
+    # A held-out set within the bound is broadcast, so the documents' windows are not shuffled.
+    keyed = F.broadcast(keyed) if keyed.count() <= 20_000 else keyed
     maybe = grams.join(keyed, "key").select("doc_id", "held").distinct()
     hits = maybe.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "held")).select("doc_id")
     short = inner.filter("key is null").select(F.col("text").alias("held"))

@@ -142,3 +142,14 @@ def test_chat_rows_mask_the_asker(spark):
 def test_templates(spark):
     df = spark.range(50).select(corpus.filled(corpus.picked(["a {text}", "b {text}"], "s", "id"), F.lit("x")).alias("q"))
     assert {r.q for r in df.collect()} == {"a x", "b x"}
+
+
+def test_names_summaries_and_prompts(spark):
+    lit = lambda *w: F.array(*map(F.lit, w))
+    r = one(
+        spark, a=T.translated(F.lit("cat"), {"cat": "Katze"}), b=T.translated(F.lit("dog"), {"cat": "Katze"}), s=elements.summary(lit("name", " "), lit("go")),
+        n=elements.summary(lit(" "), lit("")), p=elements.task_prompt(F.lit("buy"), lit('{"action_type": "TYPE", "typed_text": "x"}', "{}"), 412, 732),
+        e=elements.task_prompt(F.lit("buy"), F.array().cast("array<string>"), 412, 732), d=elements.readdressed(F.lit("run -s a:1 x"), "a:1", "b:2"),
+    )
+    assert (r.a, r.b, r.s, r.n) == ("Katze", "dog", "Inputs: name. Clickable: go.", "No inputs. Nothing to click.")
+    assert (r.p, r.e, r.d) == ("Task: buy\nDone so far:\ntype(x)", "Task: buy\nDone so far:\n", "run -s b:2 x")

@@ -27,10 +27,10 @@ def edges(log: DataFrame, who: str, node: str, seq: str) -> DataFrame:
     return log.select(F.lag(node).over(w).alias("src"), F.col(node).alias("dst")).filter("src is not null").distinct()
 
 
-def cumulative_paths(log: DataFrame, who: str, step: str, seq: str, most: int) -> DataFrame:
-    """who, seq, name: the path so far as segments joined by '_', of at most `most` steps."""
+def cumulative_paths(log: DataFrame, who: str, step: str, seq: str, most: int | None = None) -> DataFrame:
+    """who, seq, name: the path so far as segments joined by '_', one for every step or for the first `most`."""
     w = Window.partitionBy(who).orderBy(seq)
-    early = log.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most)
+    early = log if most is None else log.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     name = F.concat_ws("_", F.concat(F.lit("app"), F.col(who).cast("string"), F.lit("0")), F.array_join(F.collect_list(step).over(upto), "_"))
     return early.select(who, seq, name.alias("name"))

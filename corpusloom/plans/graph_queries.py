@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import graph
 from corpusloom.plans.catalog import query, table
 
+#: The SQL below looks at so many steps of each user only; the queries take all of them.
 STEPS = 6
 
 
@@ -16,7 +17,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cumulative_paths(_events(spark, sf_dir), "user_id", "event_type", "event_id", STEPS)
+    return graph.cumulative_paths(_events(spark, sf_dir), "user_id", "event_type", "event_id")
 
 
 _PATHS = f"""

@@ -54,7 +54,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES) -> DataFrame:
-    return token_count.report(spread(read(spark, sf_dir, "documents")), token_count.read_vocabulary(vocabulary))
+    return token_count.report(spread(read(spark, sf_dir, "documents")), token_count.read_vocabulary(vocabulary), *token_count.read_fallbacks(vocabulary))
 
 
 QUERIES: dict[str, Query] = {

@@ -1,7 +1,8 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
 A candidate is a run of key-like characters of any length from 16 up that holds a digit or changes
-case, or the value of an assignment to a telling name. Its features are the length, the
+case, or the value of an assignment to a telling name, which may be part of a longer name; the value
+goes before a run that holds it together with its name. Its features are the length, the
 make-up and transitions of its characters, how much of it words of a dictionary cover, its path or
 source, and the words next to it. The forest is trained on labelled findings, at most
 `max_findings` of them; where none are given, on findings of known truth made from a seed, which
@@ -33,7 +34,12 @@ from corpusloom.llm.common import small_batches
 MAX_FINDINGS, TREES, DEPTH, LEAF = 4000, 40, 9, 3
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
-_ASSIGNED = re.compile(r"""(?i)\b(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b["']?\s{0,3}(?:=>?|:)\s{0,3}["']?([^\s"',;]{6,})""")
+#: Key-like runs with the punctuation that passwords have; where no plain run is inside, they are candidates.
+_WIDE = re.compile(r"[A-Za-z0-9+/_=~.!#$%&*-]{16,}")
+#: Any name before an assigned value, of which only the start is looked at, as it may be an assignment itself.
+_ASSIGNED = re.compile(r"""(?<![\w-])([\w-]++)["']?\s{0,3}(?::=|=>?|:)\s{0,3}["']?(?=[^\s"',;]{6})""")
+_VALUE_END = re.compile(r"""[\s"',;]|\Z""")
+_NAMED = re.compile(r"(?i)(?<![^\W_])(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|key|auth|bearer)(?![^\W_])")
 _TELLING = re.compile(r"(?i)pass|pwd|secret|token|key|auth|bearer|credential|private|api")
 _PLAIN = re.compile(r"(?i)example|sample|dummy|test|placeholder|changeme|your|xxx|commit|sha|md5|checksum|hash|version|http|www|id\b|uuid|card|phone|mail")
 _HEX = re.compile(r"[0-9a-fA-F]+")
@@ -90,22 +96,53 @@ def read_words(path: str) -> list[str]:
     return sorted({p[1:].lower() for p in pieces if p[0] == "▁" and p[1:].isascii() and p[1:].isalpha() and len(p) > 3})
 
 
+def _values(text: str) -> list[tuple[int, int, int]]:
+    """Start of the name, start and end of the value of each assignment to a telling name."""
+    found: list[tuple[int, int, int]] = []
+    stop = last = 0  # the end of the value at hand, without and with its dots
+    for m in _ASSIGNED.finditer(text):
+        if not _NAMED.search(m[1]):
+            continue
+        a = m.end()
+        if a >= last:
+            stop = last = _VALUE_END.search(text, a).start()
+            while stop > a and text[stop - 1] == ".":
+                stop -= 1
+        b = max(stop, a + 6)
+        if found and m.start() == found[-1][1]:  # the value before is this assignment
+            found[-1] = (found[-1][0], a, b)
+        elif not found or a >= found[-1][2]:
+            found.append((m.start(), a, b))
+    return found
+
+
+def _keylike(text: str, a: int, b: int) -> tuple[int, int] | None:
+    while b > a and text[b - 1] in ".-~":
+        b -= 1
+    s = text[a:b]
+    if b - a >= 16 and (any(c.isdigit() for c in s) or (s != s.lower() and s != s.upper() and s[1:] != s[1:].lower())):
+        return a, b
+    return None
+
+
+def _runs(text: str, at: int, end: int) -> Iterator[tuple[int, int]]:
+    for wide in _WIDE.finditer(text, at, end):
+        plain = [r for m in _RUN.finditer(text, *wide.span()) if (r := _keylike(text, *m.span()))]
+        if plain:
+            yield from plain
+        elif r := _keylike(text, *wide.span()):
+            yield r
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Start and end of the candidates of a text, in order, without overlap."""
-    found = []
-    for m in _RUN.finditer(text):
-        a, b = m.span()
-        while b > a and text[b - 1] in ".-~":
-            b -= 1
-        s = text[a:b]
-        if b - a >= 16 and (any(c.isdigit() for c in s) or (s != s.lower() and s != s.upper() and s[1:] != s[1:].lower())):
-            found.append((a, b))
-    found += [m.span(1) for m in _ASSIGNED.finditer(text)]
-    end = -1
-    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
-        if a >= end:
-            yield a, b
-            end = b
+    at = 0
+    for name, a, b in _values(text):
+        joined = not any(c.isspace() or c in "\"'" for c in text[name:a])  # one run with its value
+        yield from _runs(text, at, name if joined else a)
+        yield a, b
+        at = b
+    yield from _runs(text, at, len(text))
 
 
 def features(before: str, candidate: str, after: str, path: str | None, language: Language) -> list[float]:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from corpusloom.operators import graph
 from corpusloom.plans.catalog import query, table
 
-#: The SQL below looks at so many steps of each user only; the queries take all of them.
-STEPS = 6
-
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
@@ -20,11 +17,9 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cumulative_paths(_events(spark, sf_dir), "user_id", "event_type", "event_id")
 
 
-_PATHS = f"""
-k as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as k from events),
+_PATHS = """
 paths as (
-  select a.user_id, a.event_id, 'app' || a.user_id || '0_' || string_agg(b.event_type, '_' order by b.event_id) as name
-  from k a join k b on a.user_id = b.user_id and b.k <= a.k where a.k <= {STEPS} group by a.user_id, a.event_id
+  select user_id, event_id, 'app' || user_id || '0_' || string_agg(event_type, '_') over (partition by user_id order by event_id) as name from events
 )
 """
 _EDGES = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,9 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast only when it has been counted and holds at most so many rows.
 BROADCAST_ROWS = 20_000
 
+#: Keys that hold more than a FREQUENT-th of all rows are joined by broadcast; there are no more than FREQUENT of them.
+FREQUENT = 1000
+
 _stashes: list[tuple[SparkSession, str]] = []
 
 
@@ -24,11 +28,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The shared folder that the cluster names; a temporary one only where none is set and the master is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="corpusloom-")
+        if known.isDefined():
+            named = known.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            named = tempfile.mkdtemp(prefix="corpusloom-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -46,10 +55,16 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_stashes() -> None:
-    """Deletes all stashes; call it when the results that rest on them have been written."""
-    while _stashes:
-        spark, path = _stashes.pop()
+def stashes_made() -> int:
+    """How many stashes there are now, for release_stashes()."""
+    return len(_stashes)
+
+
+def release_stashes(first: int = 0, last: int | None = None) -> None:
+    """Deletes the stashes made from first to before last, or all; call it when the results that rest on them have been written."""
+    gone = _stashes[first:last]
+    del _stashes[first:last]
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
@@ -96,6 +111,25 @@ def fold_of(col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % n
 
 
+def frequent_from(rows: int) -> int:
+    """From how many rows on a key is frequent; so many rows have FREQUENT such keys at most."""
+    return max(1, -(-rows // FREQUENT))
+
+
+def split_join(rows: DataFrame, keyed: DataFrame, on: list[str], least: int) -> DataFrame:
+    """rows joined to keyed, which has one row per key and, as times, the number of rows that have the key.
+
+    Keys of `least` rows or more (see frequent_from) are broadcast and their rows stay where they are; the others
+    are joined by shuffling, and none of them is large.
+    """
+    hot = keyed.filter(F.col("times") >= least)
+    if hot.isEmpty():
+        return rows.join(keyed.drop("times"), on)
+    settled = rows.join(F.broadcast(hot.drop("times")), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return settled.unionByName(rest.join(keyed.filter(F.col("times") < least).drop("times"), on))
+
+
 def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int, salts: int = 16) -> DataFrame:
     """Joins a table of a counted size: broadcast within BROADCAST_ROWS, else by salted keys.
 
@@ -109,6 +143,14 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows:
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of whole texts stay within a few MB; a single text is never split."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
+    """Arrow batches end at so many rows or bytes, whichever comes first; a single text is never split.
+
+    Results are lazy and Spark reads these settings when they run, so they stay set for the session; fewer
+    rows, or any size but Spark's own 64 MB, are the caller's and stay.
+    """
+    conf = spark.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -2,7 +2,9 @@
 
 Inducing is sequential only within a bucket's own growth: all suffixes that stand in a bucket can
 induce their predecessors at once, and predecessors that fall in the same bucket form its next
-round. A bucket thus takes as many rounds as the longest run of its character.
+round. A bucket thus takes as many rounds as the longest run of its character. Reduced strings have
+as many characters as there are names, and buckets of a few suffixes each; there the same scan goes
+suffix by suffix. Either way each level is linear in its length, and the levels shrink at least by half.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import numpy as np
 
 from corpusloom.llm import kernels as K
 
-#: A reduced string with more names than this is ranked by doubling instead of bucket by bucket.
+#: With more characters than this the scan goes suffix by suffix instead of bucket by bucket.
 MAX_BUCKETS = 2048
 
 
@@ -78,20 +80,47 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) ->
     return out
 
 
-def _by_doubling(text: np.ndarray) -> np.ndarray:
-    n, k = len(text), 1
-    rank = text.astype(np.int64)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
-        if rank[order[-1]] == n - 1:
-            return order.astype(np.int32)
-        k *= 2
+def _induce_one_by_one(text: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """As _induce(), in one array: buckets grow from their heads in a scan upwards, then from their tails in one downwards."""
+    n = len(text)
+    counts = np.bincount(text, minlength=sigma)
+    tails = np.cumsum(counts)
+    # What a suffix induces: the character before it, if that position has the wanted type; index n (and so -1) is no suffix.
+    before = np.full(n + 1, -1, np.int64)
+    before[1:n] = text[:-1]
+    up, down = before.copy(), before
+    up[1:n][small[:-1]] = -1
+    down[1:n][~small[:-1]] = -1
+    up, down = up.tolist(), down.tolist()
+    rows = np.full(n, -1, np.int64)
+    chars = text[lms]
+    order = np.argsort(chars, kind="stable")
+    dealt = chars[order]
+    last = np.cumsum(np.bincount(dealt, minlength=sigma))
+    rows[tails[dealt] - last[dealt] + np.arange(len(lms))] = lms[order]  # at the tails, in order
+    rows = rows.tolist()
+    head = (tails - counts).tolist()
+    end = int(text[-1])
+    rows[head[end]] = n - 1
+    head[end] += 1
+    for p in rows:
+        c = up[p]
+        if c >= 0:
+            rows[head[c]] = p - 1
+            head[c] += 1
+    tail = (tails - 1).tolist()
+    for p in reversed(rows):
+        c = down[p]
+        if c >= 0:
+            rows[tail[c]] = p - 1
+            tail[c] -= 1
+    return np.array(rows, np.int32)
+
+
+def _induced(text: np.ndarray, small: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    if sigma > MAX_BUCKETS:
+        return _induce_one_by_one(text, small, lms, sigma)
+    return np.concatenate(_induce(text, small, lms, sigma))
 
 
 def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
@@ -99,13 +128,11 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n, dtype=np.int32)
-    if sigma > MAX_BUCKETS:
-        return _by_doubling(text)
     small = suffix_types(text)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
         # Induce once from any order to sort the leftmost-smaller substrings, and name them.
-        found = np.concatenate(_induce(text, small, lms, sigma))
+        found = _induced(text, small, lms, sigma)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         found = found[is_lms[found]]
@@ -123,7 +150,7 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
             name_at = np.empty(n, np.int32)
             name_at[found] = names
             lms = lms[suffix_array(name_at[lms], int(names[-1]) + 1)]
-    return np.concatenate(_induce(text, small, lms, sigma))
+    return _induced(text, small, lms, sigma)
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:

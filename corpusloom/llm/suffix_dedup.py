@@ -9,6 +9,10 @@ array is built by induced sorting (suffix_array.py); permuted common prefixes of
 the repeated windows. Anchors that occur once are dropped before, and identical segments are counted
 rather than sent twice, which is all that copies of whole documents need.
 
+Joins on anchors and contents are split: keys that hold a thousandth of all segments or more are
+broadcast (a thousand rows at most, each with runs of a segment of some 300 windows), so copies by the
+million do not meet in one task.
+
 An anchor with more than `hot` distinct segments (a passage that very many texts share, cut at
 different neighbours) is left out of the shards: its windows are hashed one by one and counted with
 map-side combination, so no task ever holds such a group.
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
-from corpusloom.llm.common import fresh, small_batches, stash, text_or_empty, whole_row
+from corpusloom.llm.common import frequent_from, fresh, small_batches, split_join, stash, text_or_empty, whole_row
 from corpusloom.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 100
@@ -166,13 +170,18 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rows = stash(
         long_enough.mapInArrow(_anchored, f"doc_id {id_type}, digest binary, anchor long, content long, start long, n long"), "segments"
     )
-    counts = rows.groupBy("anchor").agg(F.count("*").alias("rows"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("rows > 1")
-    again = rows.join(counts.select("anchor", (F.col("lo") != F.col("hi")).alias("differ")), "anchor")
+    least = frequent_from(rows.count())
+    counts = stash(
+        rows.groupBy("anchor").agg(F.count("*").alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("times > 1")
+        .select("anchor", "times", (F.col("lo") != F.col("hi")).alias("differ")),
+        "anchors",
+    )
+    again = stash(split_join(rows, counts, ["anchor"], least), "again")
     alike = again.filter("not differ")
-    differ = stash(again.filter("differ").drop("differ"), "differ")
+    differ = again.filter("differ").drop("differ")
     distinct = stash(
         differ.groupBy("anchor", "content").agg(
-            F.count("*").alias("rows"), F.expr("min(struct(digest, doc_id is null as no_id, doc_id, start, n)) as first")
+            F.count("*").alias("times"), F.expr("min(struct(digest, doc_id is null as no_id, doc_id, start, n)) as first")
         ),
         "distinct",
     )
@@ -200,14 +209,15 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
         twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
         singles = windows.join(twice, ["anchor", "window"], "left_semi")
         found = found.unionByName(singles.select("anchor", "content", "a", (F.col("a") + 1).alias("b")))
+    once = F.lit(1).cast("long")
     found = stash(
-        found.unionByName(
-            distinct.filter("rows > 1").select("anchor", "content", F.lit(0).cast("long").alias("a"), F.col("first.n").alias("b"))
-        ).groupBy("anchor", "content").agg(F.collect_set(F.struct("a", "b")).alias("runs")),
+        found.withColumn("times", once).unionByName(
+            distinct.filter("times > 1").select("anchor", "content", F.lit(0).cast("long").alias("a"), F.col("first.n").alias("b"), "times")
+        ).groupBy("anchor", "content").agg(F.collect_set(F.struct("a", "b")).alias("runs"), F.max("times").alias("times")),
         "runs",
     )
     spans = (
-        differ.join(found, ["anchor", "content"])
+        split_join(differ, found, ["anchor", "content"], least)
         .select("digest", "start", F.explode("runs").alias("r"))
         .select("digest", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b") - 1 + LENGTH).alias("b"))
         .unionByName(alike.select("digest", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("b")))

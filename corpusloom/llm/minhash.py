@@ -1,13 +1,18 @@
 """Near-dedup by b-bit MinHash with banding, confirmed on full shingle sets, and connected components.
 
-One pass over the texts makes each document's set of distinct 2-word shingles (64-bit hashes), 224
-minima, of which the low 2 bits are kept and packed into 7 longs, and 37 keys of 6 minima each.
-Documents with equal sets are one class from then on, so copies never meet each other. Classes that
-share a band key are candidates of a few of the key's classes (stars, never all pairs); the packed
-signatures give a collision-corrected estimate by bit counts, and what could reach the threshold is
-confirmed on the full sets. Links of a star's members among themselves are looked for where one key
-still spans several components: there, and only there, members of different components are compared
-with the same estimate inside the join's condition. Components come from large and small stars.
+One pass over the texts makes each document's set of distinct n-word shingles (64-bit hashes; five
+words unless the caller asks for another number), 224 minima, of which 2 bits each are kept and packed
+into 7 longs, and 37 keys of 6 minima each. Documents with equal sets are one class from then on, so
+copies never meet each other. Classes that share a band key are candidates of a few of the key's
+classes (stars, never all pairs); the packed signatures give a collision-corrected estimate by bit
+counts, and what could reach the threshold is confirmed on the full sets. Small sets, whose estimates
+are coarse, are confirmed without one.
+
+Links of a star's members among themselves are looked for where one key still spans several
+components: there, and only there, members of different components are compared with the same estimate
+inside the join's condition. Such a key is split by set size (at 0.8 the smaller set has at least 0.8
+of the larger one's shingles) and, beyond SPLIT members, dealt out to several tasks. Components come from
+large and small stars.
 
 A pair of similarity 0.8 shares no key with a probability of 1.3e-5 (0.85: 1e-8).
 
@@ -27,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
-from corpusloom.llm.common import small_batches, stash, whole_row
+from corpusloom.llm.common import frequent_from, small_batches, split_join, stash, whole_row
 from corpusloom.llm.components import connected
 
 MINIMA, ROWS, BANDS, LOW_BITS = 224, 6, 37, 2
@@ -35,13 +40,19 @@ MINIMA, ROWS, BANDS, LOW_BITS = 224, 6, 37, 2
 PER_CENT, SLACK = 80, 0.14
 #: Centres of a key in the second round of stars.
 CENTRES = 8
+#: Sets of fewer shingles are confirmed without an estimate. Members of a key and size class that meet in one task.
+SMALL, SPLIT = 64, 2048
+#: Words of a shingle where no contract says otherwise.
+WORDS = 5
+#: Sizes of one class differ by less than this factor; above 1 / 0.8, so that linked sets are in the same class or in neighbours.
+SIZE_STEP = 1.3
 
 _RNG = np.random.default_rng(1709)
 _A = (_RNG.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _B = _RNG.integers(0, 2**32, MINIMA, dtype=np.uint32)[:, None]
 
 
-def shingle_sets(texts: list[bytes | None], n: int = 2) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], n: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of n-word shingles of each text, letters A-Z lower-cased."""
     for _, held in K.blocks(texts):
         data, at = K.joined(held)
@@ -78,8 +89,11 @@ _BAND_NO = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x8CB9
 
 
 def _signature(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The packed low bits, and the band keys, which carry their band's number."""
-    bits = (low & np.uint32(2**LOW_BITS - 1)).astype(np.uint64).reshape(-1, 32)
+    """The packed bits, and the band keys, which carry their band's number.
+
+    Minima are mixed first: the low bits of a minimum itself depend on the low bits of its shingle alone.
+    """
+    bits = (K.mix(low.astype(np.uint64)) & np.uint64(2**LOW_BITS - 1)).reshape(-1, 32)
     packed = np.bitwise_or.reduce(bits << _SHIFT, axis=1)
     keys = _BAND_NO.copy()
     rows = low[: ROWS * BANDS].reshape(BANDS, ROWS).astype(np.uint64)
@@ -96,32 +110,33 @@ def set_digest(hashes: np.ndarray) -> int:
 _SIGNED = "doc_id {id}, n_shingles long, node long, sig array<long>, keys array<long>"
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, node, sigs, keys = [], [], [], []
-        for s in shingle_sets(K.column_bytes(batch, "text")):
-            n.append(len(s))
-            if len(s):
-                sig, key = _signature(_minima(s))
-                node.append(set_digest(s))
+def _signed(words: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, node, sigs, keys = [], [], [], []
+            for s in shingle_sets(K.column_bytes(batch, "text"), words):
+                n.append(len(s))
+                sig, key = _signature(_minima(s)) if len(s) else (None, None)
+                node.append(set_digest(s) if len(s) else None)
                 sigs.append(sig)
                 keys.append(key)
-            else:
-                node.append(None)
-                sigs.append(None)
-                keys.append(None)
-        lists = [pa.array(x, pa.list_(pa.int64())) for x in (sigs, keys)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists],
-            ["doc_id", "n_shingles", "node", "sig", "keys"],
-        )
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (sigs, keys)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists],
+                ["doc_id", "n_shingles", "node", "sig", "keys"],
+            )
+
+    return sign
+
 
+def _sets(words: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = list(shingle_sets(K.column_bytes(batch, "text"), words))
+            ids = pa.array([set_digest(s) for s in made], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], ["node", "hashes"])
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = list(shingle_sets(K.column_bytes(batch, "text")))
-        ids = pa.array([set_digest(s) for s in made], pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], ["node", "hashes"])
+    return sets
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -136,11 +151,11 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - differ / MINIMA) - chance) / (1 - chance)
 
 
-def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """node, hashes: the full sets of the wanted classes, made anew from one document of each."""
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct()
     needed = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    return stash(needed.select("text").mapInArrow(_sets, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
+    return stash(needed.select("text").mapInArrow(_sets(words), "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -155,12 +170,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _placed(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """key, node, root of the keys that still hold more than one component."""
-    if roots is None:
-        return shared.withColumn("root", F.col("node"))
-    placed = stash(shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    return placed.join(mixed, "key", "left_semi")
+    """key, node, root, held of the keys that still hold more than one component; held: the key's classes."""
+    placed = shared.withColumn("root", F.col("node"))
+    if roots is not None:
+        placed = stash(shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
+    keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("held")).filter("lo < hi")
+    return placed.join(keys.select("key", "held"), "key")
 
 
 def _stars(placed: DataFrame, centres: int) -> DataFrame:
@@ -171,50 +186,74 @@ def _stars(placed: DataFrame, centres: int) -> DataFrame:
     return pairs.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
 
 
+def _close(least: float) -> Column:
+    """Whether x and y may be linked, by their sizes and signatures."""
+    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    return (small * 100 >= large * PER_CENT) & ((small < SMALL) | (estimate(F.col("x.sig"), F.col("y.sig")) >= least))
+
+
 def _likely(pairs: DataFrame, sig: DataFrame, least: float) -> DataFrame:
     return (
         pairs.join(sig.alias("x"), F.col("u") == F.col("x.node"))
-        .join(sig.alias("y"), (F.col("v") == F.col("y.node")) & (estimate(F.col("x.sig"), F.col("y.sig")) >= least))
+        .join(sig.alias("y"), (F.col("v") == F.col("y.node")) & _close(least))
         .select("u", "v")
     )
 
 
+def _blocks(rows: DataFrame, as_partner: bool) -> DataFrame:
+    """rows with block: a class and its possible partners have one block in common, for each key and size class.
+
+    A class stands in one block of its key: its size class and one of the parts that a large key has. As a partner it
+    stands in the three size classes around its own, in every part.
+    """
+    size = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+    parts = F.ceil(F.col("held") / SPLIT).cast("int")
+    if not as_partner:
+        return rows.withColumn("block", F.struct("key", size.alias("size"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")))
+    sizes = F.array(*[size + k for k in (-1, 0, 1)])
+    return (
+        rows.withColumn("_size", F.explode(sizes)).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .withColumn("block", F.struct("key", F.col("_size").alias("size"), F.col("_part").alias("part"))).drop("_size", "_part")
+    )
+
+
 def _across(placed: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The links u, v between members of one key in different components.
 
     Rows without a likely partner leave first, by a semi-join; the others carry their full sets into
-    the join, whose condition looks at a pair in the least of its common keys only and confirms it
+    the join. Both look at a pair in the least of its common keys only, and the second confirms it
     there, so that no row is made for a pair that is no link.
     """
-    close = estimate(F.col("x.sig"), F.col("y.sig")) >= least
-    signed = stash(placed.join(nodes.select("node", "sig", "keys"), "node"), "mixed")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & close
-    some = signed.alias("x").join(signed.select("key", "root", "sig").alias("y"), apart, "left_semi")
+    signed = stash(placed.join(nodes.select("node", "size", "sig", "keys"), "node"), "mixed")
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    meet = (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & _close(least) & once
+    some = _blocks(signed, False).alias("x").join(_blocks(signed, True).alias("y"), meet, "left_semi").drop("block")
     full = stash(some.join(sets, "node"), "likely")
     both = F.size(F.array_intersect("x.hashes", "y.hashes"))
     linked = both * 100 >= (F.size("x.hashes") + F.size("y.hashes") - both) * PER_CENT
-    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
     return (
-        full.alias("x")
-        .join(full.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & close & once & linked)
+        _blocks(full, False).alias("x")
+        .join(_blocks(full, True).alias("y"), meet & (F.col("x.root") < F.col("y.root")) & linked)
         .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
-    )
+    )
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The signed documents, and node, root of their classes' components (None: no two are linked)."""
+def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The signed documents, their classes (node, rep, times, ..) and node, root of the classes' components (None: no two are linked)."""
     small_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text")
-    signed = stash(slim.mapInArrow(_signed, _SIGNED.format(id=docs.schema["doc_id"].dataType.simpleString())), "signed")
+    signed = stash(slim.mapInArrow(_signed(words), _SIGNED.format(id=docs.schema["doc_id"].dataType.simpleString())), "signed")
     nodes = stash(
-        signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")),
+        signed.filter("node is not null").groupBy("node").agg(
+            F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
+        ),
         "nodes",
     )
     members = nodes.select("node", F.explode("keys").alias("key"))
     often = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     shared = stash(members.join(often, "key", "left_semi"), "shared")
-    sig = nodes.select("node", "sig")
-    sets = _full_sets(shared.select("node").distinct(), nodes, slim)
+    sig = nodes.select("node", "size", "sig")
+    sets = _full_sets(shared.select("node").distinct(), nodes, slim, words)
     roots = None
     floor = PER_CENT / 100 - SLACK
     # Stars first, from one centre and then from several, as they cost no more than their rows; then every
@@ -232,22 +271,30 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             if roots is not None:
                 found = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
             roots = connected(found)
-    return signed, roots
+    return signed, nodes, roots
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
-    signed, roots = links(docs)
-    named = signed.select("doc_id", "n_shingles", "node").withColumn("root", F.col("node"))
+def report(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per document.
+
+    Components are settled on classes; documents only look up their own class, by a join that is split
+    for classes of very many copies.
+    """
+    signed, nodes, roots = links(docs, words)
+    named = nodes.select("node", "times", F.col("rep").alias("least"))
     if roots is not None:
-        named = named.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = named.filter("root is not null").join(least, "root").unionByName(named.filter("root is null").withColumn("least", F.col("doc_id")))
+        placed = stash(nodes.select("node", "times", "rep").join(roots, "node", "left").select("node", "times", "rep", F.coalesce("root", "node").alias("root")), "classes")
+        of_root = placed.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("times"))
+        found = split_join(placed.withColumnRenamed("times", "copies"), of_root, ["root"], frequent_from(placed.count()))
+        named = stash(found.select("node", F.col("copies").alias("times"), "least"), "named")
+    some = split_join(signed.filter("node is not null").select("doc_id", "n_shingles", "node"), named, ["node"], frequent_from(signed.count()))
+    none = signed.filter("node is null").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("least"))
+    out = some.unionByName(none)
     return out.select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with one document of each component, columns unchanged; rows without any word stay."""
-    kept = report(docs).filter("kept").select("doc_id")
+    kept = report(docs, words).filter("kept").select("doc_id")
     rows = docs.select(whole_row(docs).alias("doc"))
     return rows.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")), "left_semi").select("doc.*")

@@ -38,7 +38,7 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.report(spread(read(spark, sf_dir, "documents")))
+    return minhash.report(spread(read(spark, sf_dir, "documents")), words=2)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,11 +15,11 @@ from corpusloom.llm.components import connected
 from tests.llm.fixtures import awkward, documents, prose
 
 
-def plain_sets(texts):
+def plain_sets(texts, n=2):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     for t in texts:
         w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(low))
-        yield frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+        yield frozenset(zip(*[w[k:] for k in range(n)])) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
 def plain_components(ids, sets):
@@ -45,20 +45,22 @@ def near(rng, text, share):
     return " ".join(w if rng.random() > share else f"n{rng.randrange(10**6)}" for w in text.split())
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_duplicates_equal_brute_force(spark, words):
     rng = random.Random(3)
     base = [prose(rng, 150, 3000) for _ in range(6)]
-    texts = awkward(rng) + base + [near(rng, b, rng.choice([0.01, 0.03, 0.05, 0.08, 0.12])) for b in base for _ in range(14)] + [base[0]] * 5
+    base += [prose(rng, n, 3000) for n in (6, 9, 11)]  # small sets, at the threshold with one word more
+    texts = awkward(rng) + base + [f"{b} end" for b in base] + [near(rng, b, rng.choice([0.01, 0.03, 0.05, 0.08, 0.12])) for b in base for _ in range(14)] + [base[0]] * 5
     ids = list(range(len(texts)))
     rng.shuffle(ids)
     docs = documents(spark, texts, ids)
-    sets = list(plain_sets(texts))
-    got = {r.doc_id: r for r in minhash.report(docs).collect()}
+    sets = list(plain_sets(texts, words))
+    got = {r.doc_id: r for r in minhash.report(docs, words).collect()}
     want = plain_components(ids, sets)
     assert [got[i].n_shingles for i in ids] == [len(s) for s in sets]
     assert [got[i].component_id for i in ids] == want
     assert all(got[i].kept == (i == w) for i, w in zip(ids, want))
-    kept = minhash.keep_one(docs)
+    kept = minhash.keep_one(docs, words)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
@@ -158,3 +160,14 @@ def test_suffix_dedup_of_nothing_and_of_repeated_rows(spark):
     text = prose(random.Random(1), 200)
     got = suffix_dedup.report(documents(spark, [text, text, None], [1, 1, None])).collect()
     assert sorted((r.n_removed, r.n_spans) for r in got) == [(0, 0), (len(text), 1), (len(text), 1)]
+
+
+def test_a_large_key_is_split_and_loses_no_link(spark, monkeypatch):
+    """Stars that link nothing, so that every link is found across components, in keys of many parts."""
+    monkeypatch.setattr(minhash, "SPLIT", 3)
+    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, sets: pairs.filter("false").select("u", "v"))
+    rng = random.Random(5)
+    base = prose(rng, 200, 5000)
+    texts = [near(rng, base, rng.choice([0.0, 0.02, 0.05, 0.1])) for _ in range(40)] + [base + " " + prose(rng, n) for n in range(0, 60, 7)]
+    got = {r.doc_id: r.component_id for r in minhash.report(documents(spark, texts), 2).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_components(list(range(len(texts))), list(plain_sets(texts)))

@@ -29,7 +29,7 @@ def test_stages_equal_brute_force(spark, sf_dir):
         best[s] = min(best.get(s, key), key)
     assert ids[2] == sorted(i for _, i in best.values())
     texts = [frame.text[i] for i in ids[2]]
-    assert ids[3] == sorted(set(plain_components(ids[2], list(plain_sets(texts)))))
+    assert ids[3] == sorted(set(plain_components(ids[2], list(plain_sets(texts, 5)))))
     taken = {r.doc_id: r for r in mixing.report(after[3]).collect()}
     copies = pd.Series(ids[4]).value_counts().to_dict()
     assert all(copies.get(i, 0) * r.size == r.taken for i, r in taken.items())
@@ -46,3 +46,27 @@ def test_queries_and_sql_agree_on_names():
 
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "minhash_near_dedup", "source_mixing", "sentence_pieces"]
+
+
+def test_stages_take_any_table(spark, sf_dir):
+    """Null ids and texts, repeated rows, blank and very long texts, clashing columns; and no rows at all."""
+    import random
+
+    from tests.llm.fixtures import awkward, documents
+
+    rng = random.Random(2)
+    texts = awkward(rng)
+    texts += [texts[6], None, texts[10]]
+    ids = [None if i in (3, 9) else i for i in range(len(texts) - 1)] + [10]
+    full = documents(spark, texts, ids, sources=[None if i % 5 == 0 else f"src{i % 3}" for i in range(len(texts))])
+    for docs in (full, full.filter("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            made = stage(spark, docs, sf_dir)
+            assert made.columns == docs.columns, name
+            rows = made.collect()
+            assert len(rows) <= 2 * len(texts) and all(r.text is None or r.text in texts for r in rows), name
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+        assert len(out) == docs.count() and all(r.round_trip for r in out if r.token_ids is not None)
+    kept = [r.text for r in corpus_pipeline.STAGES[1][1](spark, full, sf_dir).collect()]
+    squeezed = [re.sub("[\x20\x09-\x0d]", "", t or "") for t in texts]
+    assert sorted(re.sub("[\x20\x09-\x0d]", "", t or "") for t in kept) == sorted(set(squeezed))

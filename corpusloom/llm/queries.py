@@ -124,6 +124,52 @@ select doc_id, size, source_size, target,
 from run
 """
 
+_OP6_SQL = r"""
+with recursive w as (
+  select rowid as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from (select row_number() over () as rowid, * from documents)
+), s as (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) = 1 then w
+    else list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) end as s from w
+), class as (
+  select md5(array_to_string(list_sort(s), chr(10))) as c, min(doc_id) as rep, len(any_value(s)) as n, any_value(s) as s from s where len(s) > 0 group by c
+), t as (select c, n, unnest(s) as t from class),
+f as (select t, count(*) as df from t group by t having count(*) > 1),
+p as (select c, n, t, row_number() over (partition by c order by coalesce(df, 1), t) as k, df from t left join f using (t)),
+rare as (select c, n, t from p where df is not null and k <= n - ceil(0.8 * n) + 1),
+pair as (select distinct a.c as a, b.c as b from rare a join rare b on a.t = b.t and a.c < b.c and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+edge as (
+  select a, b from pair join class x on x.c = a join class y on y.c = b
+  where 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))
+), both_ways as (select a, b from edge union all select b, a from edge),
+reach(c, via) as (select c, c from class union select reach.c, e.b from reach join both_ways e on e.a = reach.via),
+least_of as (select reach.c, min(k.rep) as component_id from reach join class k on k.c = reach.via group by reach.c)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(l.component_id, s.doc_id) as component_id, s.doc_id = coalesce(l.component_id, s.doc_id) as kept
+from s left join least_of l on len(s.s) > 0 and l.c = md5(array_to_string(list_sort(s.s), chr(10)))
+"""
+
+_OP9_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents
+), block as (
+  select r, n, b, substr(h, 800 * b + 1, 1600) as h from (select r, n, h, unnest(generate_series(0, n // 400)) as b from d where n >= 400)
+), pos as (
+  select r, 400 * b + o as p, md5(substr(h, 2 * o + 1, 800)) as m from (select r, n, b, h, unnest(generate_series(0, 399)) as o from block) where 400 * b + o + 400 <= n
+), twice as (select m from pos group by m having count(*) > 1),
+hit as (select r, p, lag(p) over w as before, lead(p) over w as next from pos semi join twice using (m) window w as (partition by r order by p)),
+cut as (
+  select r, p as a, coalesce(before + 400 < p, true) as first, sum(case when coalesce(before + 400 < p, true) then 1 else 0 end) over (partition by r order by p) as k from hit
+), span as (select r, k, min(a) as a, max(a) + 400 as b from cut group by r, k),
+gap as (
+  select r, coalesce(lag(b) over (partition by r order by a), 0) as a, a as b from span
+  union all select r, max(b), (select n from d where d.r = span.r) from span group by r
+), kept as (select g.r, string_agg(substr(d.h, 2 * g.a + 1, 2 * (g.b - g.a)), '' order by g.a) as h from gap g join d using (r) group by g.r),
+total as (select r, sum(b - a) as n_removed, count(*) as n_spans from span group by r)
+select d.doc_id, cast(d.n as bigint) as n_bytes, cast(coalesce(t.n_removed, 0) as bigint) as n_removed, cast(coalesce(t.n_spans, 0) as bigint) as n_spans,
+       sha256(unhex(coalesce(k.h, d.h))) as kept_sha256
+from d left join total t using (r) left join kept k using (r)
+"""
+
 _OP5_SQL = """
 with e as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
@@ -136,4 +182,10 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from s qualify rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": _OP1_SQL, "op5_exact_top_k": _OP5_SQL, "op8_source_mixing": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_dedup": _OP1_SQL,
+    "op5_exact_top_k": _OP5_SQL,
+    "op6_minhash_near_dedup": _OP6_SQL,
+    "op8_source_mixing": _OP8_SQL,
+    "op9_suffix_array_dedup": _OP9_SQL,
+}

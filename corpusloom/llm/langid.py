@@ -3,8 +3,10 @@
 Whole texts become counts of hashed character 1- to 3-grams (lower case, runs of anything but
 letters read as spaces). Document frequencies come from all rows that may be learned from. The weights
 are learned by follow-the-regularised-leader with elastic-net penalties on a bounded sample: at most
-`sample` texts in all, an equal share for each language, chosen by a hash of the text. A fifth of
-the sample sets the softmax temperature.
+`sample` texts in all, an equal share for each language (one text at least), the distinct ones with the
+least hashes, so that neither copies nor partitions have a say in it. A fifth of the sample sets the softmax
+temperature. The model holds a weight for every bucket and language; languages are its classes, which
+the driver must hold as it holds the model.
 
 Cases: null text or text without a letter is `und` with score 0; rows without a language are
 predicted but not learned from; a null doc_id counts as empty text for the fold; without any
@@ -14,12 +16,11 @@ than text, lang serves as the learning target alone and doc_id for the fold alon
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fold_of, small_batches
@@ -29,13 +30,13 @@ BUCKETS, SAMPLE = 1 << 14, 2400
 ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.5, 1.0, 0.002, 0.001, 6, 32
 BLOCK_CHARS = 1 << 19
 
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = np.arange(128, dtype=np.uint32)
 _PLAIN[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether some character is a letter, of Unicode's categories L only: no digits, fractions or enclosed numbers."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def gram_counts(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -163,9 +164,13 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, sample: int = SAMPLE
         idf[r.bucket] = np.log((1 + total) / (1 + r.texts)) + 1
     model = Model(sorted(counts), idf)
     share = max(1, sample // len(counts))
-    rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, share / n))])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(rates, F.col("lang")) * (1 << 30)
-    rows = may.filter(drawn).select("text", "lang").mapInArrow(_counted, "lang string, buckets array<int>, counts array<int>").limit(2 * sample + 2 * len(counts))
+    # Some more than the share by rate, so that the share's least hashes are among them; equal texts count once.
+    rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * share + 64) / n))])
+    hashed = may.select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    drawn = hashed.filter(F.col("h") < F.element_at(rates, F.col("lang")) * (1 << 30)).dropDuplicates(["lang", "digest"])
+    least = Window.partitionBy("lang").orderBy("h", "digest")
+    chosen = drawn.withColumn("k", F.row_number().over(least)).filter(F.col("k") <= share)
+    rows = chosen.select("text", "lang").mapInArrow(_counted, "lang string, buckets array<int>, counts array<int>")
     number = {k: i for i, k in enumerate(model.langs)}
     table = rows.toArrow()
     picked = [(number[k], b.values.to_numpy(), c.values.to_numpy()) for k, b, c in zip(table["lang"].to_pylist(), table["buckets"], table["counts"]) if len(b)]

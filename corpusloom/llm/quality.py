@@ -29,7 +29,7 @@ from corpusloom.llm import kernels as K
 from corpusloom.llm.common import fold_of, small_batches, stash
 
 FEATURES, RIDGE, WIDTH = 256, 3e-4, 1.2
-BINS, FIT_PARTITIONS, PARTS = 1000, 64, 5
+BINS, PARTS = 1000, 5
 
 _CLASSES = {
     "letter": [*range(65, 91), *range(97, 123)],
@@ -202,6 +202,10 @@ def measure(docs: DataFrame, folds: int = 3) -> DataFrame:
     return stash(slim.mapInArrow(_measured, f"doc_id {id_type}, fold long, part long, x array<double>"), "statistics")
 
 
+def _cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def fit(measured: DataFrame, labels: DataFrame, held_out: int = 1) -> Model:
     """Learns from rows outside the held-out fold only."""
     may = measured.filter(F.col("fold") != held_out)
@@ -217,7 +221,8 @@ def fit(measured: DataFrame, labels: DataFrame, held_out: int = 1) -> Model:
         model.values = np.array([0.5, 0.5])
         return model
     model.base = base
-    shares = rows.coalesce(FIT_PARTITIONS).mapInArrow(_equations(model), "i long, sums array<double>")
+    # As many shares of the sums as there are cores, at most, whatever the files.
+    shares = rows.coalesce(max(2, _cores(rows))).mapInArrow(_equations(model), "i long, sums array<double>")
     summed = shares.groupBy("i").applyInPandas(_added, "i long, sums array<double>").orderBy("i").collect()
     sums = np.array([r.sums for r in summed]).reshape(PARTS, FEATURES, FEATURES + 1)
 

@@ -45,6 +45,21 @@ def test_top_k_of_few_and_no_rows(spark):
     assert topk.top_k(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("shard", [4, 16384])
+def test_large_components_are_scored_exactly(spark, shard):
+    rows = [(i, [float(i % 7), -1.0 * i, 0.5]) for i in range(20)]
+    rows += [(100, [9000.0, 9000.0, 1e-3]), (110, [2.0**20, 1.0, -(2.0**20)]), (120, [2.0**20, 3.0, -(2.0**20)]), (121, [1e6, -1e6]), (130, [9000.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, 5, 10, shard).collect())
+    assert got == plain_top(rows, 5, 10)
+
+
+def test_scores_beyond_a_long(spark):
+    df = spark.createDataFrame([(0, [1e300]), (1, [1e300]), (2, [-1.7e308]), (3, [1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, 3, 50).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1), (0, 3, 2, -(2**63))]
+
+
 def test_index_prunes_and_stays_exact():
     rng = np.random.default_rng(0)
     v = rng.normal(0, 30, (4000, 16)).astype(int)
@@ -94,6 +109,43 @@ def test_quality_without_labels_or_rows(spark):
     assert quality.report(docs.filter("false"), marks).count() == 0
 
 
+def test_quality_equals_a_plain_solve(spark):
+    """Scaling, ridge weights and calibration against one dense solve over all labelled rows outside the fold."""
+    rng = random.Random(6)
+    texts, labels = noisy(rng, 240)
+    texts[5], labels[7] = None, None
+    docs = documents(spark, texts)
+    marks = spark.createDataFrame([(i, q, 0) for i, q in enumerate(labels)] + [(3, labels[3], 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(quality.measure(docs), marks)
+    fold = np.array([zlib.crc32(str(i).encode()) % 3 for i in range(len(texts))])
+    part = np.array([zlib.crc32(str(i).encode()) % 30 // 3 % quality.PARTS for i in range(len(texts))])
+    x = quality.statistics([None if t is None else t.encode() for t in texts])
+    may = fold != 1
+    assert np.allclose(model.centre, x[may].mean(axis=0)) and np.allclose(model.scale[x[may].std(axis=0) > 1e-9], x[may].std(axis=0)[x[may].std(axis=0) > 1e-9])
+    rows = np.flatnonzero(may & np.array([q is not None for q in labels]))
+    z, y = model.features(x[rows]), np.array([float(labels[i]) for i in rows])
+    assert np.isclose(model.base, y.mean())
+
+    def solved(some, share):
+        a = z[some].T @ z[some] + quality.RIDGE * len(rows) * share * np.eye(quality.FEATURES)
+        return np.linalg.solve(a, z[some].T @ (y[some] - y.mean()))
+
+    assert np.allclose(model.ridge, solved(np.ones(len(rows), bool), 1), atol=1e-8)
+    raw = np.zeros(len(rows))
+    for p in range(quality.PARTS):
+        own = part[rows] == p
+        raw[own] = y.mean() + z[own] @ solved(~own, 1 - 1 / quality.PARTS)
+    bins = np.clip(np.floor(raw * quality.BINS / 2 + quality.BINS / 4), 0, quality.BINS - 1)
+    at = np.unique(bins)
+    means, sizes = np.array([y[bins == b].mean() for b in at]), np.array([float((bins == b).sum()) for b in at])
+    # The monotone fit by its definition: the largest of the least means of stretches around a bin.
+    mean = lambda i, j: (means[i : j + 1] * sizes[i : j + 1]).sum() / sizes[i : j + 1].sum()
+    want = [max(min(mean(i, j) for j in range(b, len(at))) for i in range(b + 1)) for b in range(len(at))]
+    assert np.allclose(model.values, want) and np.allclose(model.knots, [raw[bins == b].mean() for b in at])
+    got = {r.doc_id: r.score for r in quality.report(docs, marks).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], np.clip(np.interp(model.raw(x), model.knots, want), 0, 1))
+
+
 def test_pooling_is_the_nearest_monotone_fit():
     assert quality.pooled(np.array([1.0, 0.0, 2.0, 1.0]), np.array([1.0, 1, 1, 3])).tolist() == [0.5, 0.5, 1.25, 1.25]
 
@@ -122,6 +174,75 @@ def test_languages_are_told_apart(spark):
     assert {(r.doc_id, r.lang_pred, r.score) for r in langid.report(swapped).collect()} == {(i, r.lang_pred, r.score) for i, r in got.items()}
 
 
+def test_letters_are_unicode_letters():
+    assert [langid.has_letter(t) for t in ("½ ² Ⅷ ① 7_", "", None, "é", "漢", "ʰ 1", "\u0301")] == [False, False, False, True, True, True, False]
+
+
+def test_copies_crowd_out_no_language(spark):
+    """A text of one language three thousand times over, others with a few texts; reruns learn the same."""
+    rng = random.Random(4)
+    texts = ["the same text again and again"] * 3000
+    langs = ["en"] * 3000
+    for i in range(60):
+        for k, alphabet in (("de", "äöüß"), ("fr", "éèçà")):
+            texts.append(" ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(12)))
+            langs.append(k)
+    docs = documents(spark, texts, langs=langs)
+    models = [langid.fit(d, sample=30) for d in (docs, docs.repartition(7))]
+    assert models[0].langs == ["de", "en", "fr"] and (models[0].weights == models[1].weights).all()
+    got = langid.report(docs).filter("doc_id >= 3000").join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.filter("lang_pred <> lang").count() == 0
+
+
+def plain_ftrl(rows, langs, idf, epochs, batch, seed=5):
+    """Follow-the-regularised-leader over dense TF-IDF rows, coordinate by coordinate."""
+    rng = np.random.default_rng(seed)
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    learn = rows[len(rows) // 5 :]
+    x = np.zeros((len(learn), langid.BUCKETS + 1))
+    for i, (_, buckets, counts) in enumerate(learn):
+        x[i, buckets] = np.log1p(counts) * idf[buckets]
+        x[i] /= np.linalg.norm(x[i])
+        x[i, -1] = 1
+    used = np.flatnonzero(x.any(axis=0))
+    x, y = x[:, used], np.array([r[0] for r in learn])
+    z, squares, w = (np.zeros((len(used), len(langs))) for _ in range(3))
+    for _ in range(epochs):
+        for at in range(0, len(learn), batch):
+            xs, ys = x[at : at + batch], y[at : at + batch]
+            p = np.exp(xs @ w - (xs @ w).max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(ys)), ys] -= 1
+            g = xs.T @ p
+            for j in range(len(used)):
+                for c in range(len(langs)):
+                    sigma = (math.sqrt(squares[j, c] + g[j, c] ** 2) - math.sqrt(squares[j, c])) / langid.ALPHA
+                    z[j, c] += g[j, c] - sigma * w[j, c]
+                    squares[j, c] += g[j, c] ** 2
+                    if abs(z[j, c]) <= langid.L1:
+                        w[j, c] = 0
+                    else:
+                        w[j, c] = -(z[j, c] - math.copysign(langid.L1, z[j, c])) / ((langid.BETA + math.sqrt(squares[j, c])) / langid.ALPHA + langid.L2)
+    return used, w
+
+
+def test_language_weights_equal_a_plain_fit():
+    rng = random.Random(8)
+    rows = []
+    for i in range(25):
+        counts = {}
+        for _ in range(20):
+            b = rng.randrange(12) + 6 * (i % 2)
+            counts[b] = counts.get(b, 0) + 1
+        at = np.array(sorted(counts), np.int32)
+        rows.append((i % 2, at, np.array([counts[b] for b in at.tolist()], np.int32)))
+    model = langid.Model(["a", "b"], np.linspace(1, 2, langid.BUCKETS))
+    langid._train(model, rows)
+    used, want = plain_ftrl(rows, model.langs, model.idf, langid.EPOCHS, langid.BATCH)
+    got = np.vstack([model.weights, model.bias])
+    assert np.allclose(got[used], want, atol=1e-9) and not np.delete(got, used, axis=0).any()
+
+
 def test_languages_without_any_to_learn(spark):
     docs = documents(spark, ["abc", None]).withColumn("lang", F.lit(None).cast("string"))
     assert {(r.lang_pred, r.score) for r in langid.report(docs).collect()} == {("und", 0.0)}

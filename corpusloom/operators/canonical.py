@@ -12,7 +12,7 @@ import math
 from collections import Counter, defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Defaults: line-set similarity above which pages are the same, element difference below which images are.
@@ -23,6 +23,11 @@ def _alike(a: frozenset, b: frozenset) -> float:
     return len(a & b) / len(a | b) if a or b else 0.0
 
 
+def _known(lines: str) -> Column:
+    """Lines as an array without nulls: a page of unknown text has none, and is like no other page."""
+    return F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: x.isNotNull()).alias(lines)
+
+
 class _Candidates:
     """BM25 over the canonical pages of one app, added one at a time."""
 
@@ -82,7 +87,7 @@ def online(pages: DataFrame, app: str, limit: float = LINES_ABOVE, image_below:
             seen[page] = own
         return pd.DataFrame({"app": rows["app"], "page_id": rows["page_id"], "unique_id": [unique[p] for p in rows["page_id"]]})
 
-    slim = pages.select(F.col(app).alias("app"), "page_id", "parent_id", "seq", "lines", "image")
+    slim = pages.select(F.col(app).alias("app"), "page_id", "parent_id", "seq", _known("lines"), "image")
     kind = dict(slim.dtypes)
     return slim.groupBy("app").applyInPandas(place, f"app {kind['app']}, page_id {kind['page_id']}, unique_id {kind['page_id']}")
 
@@ -112,6 +117,6 @@ def offline(pages: DataFrame, app: str, above: float = CONTAINED_ABOVE, parity:
             out.append(page)
         return pd.DataFrame({"app": rows["app"], "page_id": rows["page_id"], "unique_id": out})
 
-    slim = pages.select(F.col(app).alias("app"), "page_id", "seq", "lines")
+    slim = pages.select(F.col(app).alias("app"), "page_id", "seq", _known("lines"))
     kind = dict(slim.dtypes)
     return slim.groupBy("app").applyInPandas(place, f"app {kind['app']}, page_id {kind['page_id']}, unique_id {kind['page_id']}")

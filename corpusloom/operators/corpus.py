@@ -60,7 +60,7 @@ def chat_rows(talks: DataFrame, key: str, max_len: int, system: str = "You are a
     nothing = F.lit(None).cast("string")
     head_words = F.concat(one("<s>", "system", "\n"), word(F.lit(system)), one("<e>", "\n"))
     head_label = F.concat(one("<s>"), F.array_repeat(nothing, F.size(head_words) - 3), one("<e>", "\n"))
-    turns = F.when(F.element_at(F.col("conversations"), 1)["from"] != "user", F.slice("conversations", 2, 1_000_000)).otherwise(F.col("conversations"))
+    turns = F.when(F.element_at(F.col("conversations"), 1)["from"] != "user", F.slice("conversations", F.lit(2), F.size("conversations"))).otherwise(F.col("conversations"))
     turns = F.filter(turns, lambda t: t["from"].isin("user", "assistant"))
 
     def rendered(t: Column) -> Column:

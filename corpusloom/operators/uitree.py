@@ -214,24 +214,41 @@ def tree_metrics(nodes: DataFrame, key: str) -> DataFrame:
 def tree_difference(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """a, b, unmatched, difference: nodes whose place only one tree has, over the mean number of nodes.
 
-    pairs(a, b). Each side's places are joined once; what both have is counted, the rest follows.
+    pairs(a, b), each once in the result. Each side's places are joined once; what both have is counted, the rest
+    follows. A page without nodes, as one that cannot be parsed, lacks all of the other's; two of them do not differ.
     """
     size = nodes.groupBy(key).agg(F.count("*").alias("n"))
+    wanted = pairs.select("a", "b").distinct()
     one = nodes.select(F.col(key).alias("a"), "place")
     two = nodes.select(F.col(key).alias("b"), "place")
-    both = pairs.select("a", "b").join(one, "a").join(two, ["b", "place"]).groupBy("a", "b").agg(F.count("*").alias("both"))
+    both = wanted.join(one, "a").join(two, ["b", "place"]).groupBy("a", "b").agg(F.count("*").alias("both"))
     sized = (
-        both.join(size.select(F.col(key).alias("a"), F.col("n").alias("na")), "a")
-        .join(size.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
+        wanted.join(both, ["a", "b"], "left")
+        .join(size.select(F.col(key).alias("a"), F.col("n").alias("na")), "a", "left")
+        .join(size.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b", "left")
+        .na.fill(0, ["both", "na", "nb"])
     )
     unmatched = F.col("na") + F.col("nb") - 2 * F.col("both")
-    return sized.select("a", "b", unmatched.alias("unmatched"), (unmatched / ((F.col("na") + F.col("nb")) / 2)).alias("difference"))
+    mean = (F.col("na") + F.col("nb")) / 2
+    return sized.select("a", "b", unmatched.alias("unmatched"), F.when(mean > 0, unmatched / mean).otherwise(0.0).alias("difference"))
 
 
-def child_count_delta(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """a, b, delta: differences of the number of children, summed over places that both trees have."""
+def child_count_delta(pairs: DataFrame, nodes: DataFrame, key: str, stop: int | None = None) -> DataFrame:
+    """a, b, delta: differences of the number of children, summed over places that both trees have.
+
+    Pairs without a place in common, as where a page cannot be parsed, have 0. With stop the sum goes in pre-order
+    and ends at the first place where it has reached stop, as a comparison that is broken off there.
+    """
     kids = nodes.groupBy(key, F.col("parent_id").alias("node_id")).agg(F.count("*").alias("kids")).filter("node_id is not null")
     full = nodes.select(key, "node_id", "place").join(kids, [key, "node_id"], "left").select(F.col(key).alias("k"), "place", F.coalesce("kids", F.lit(0)).alias("kids"))
     one = full.select(F.col("k").alias("a"), "place", F.col("kids").alias("ka"))
     two = full.select(F.col("k").alias("b"), "place", F.col("kids").alias("kb"))
-    return pairs.join(one, "a").join(two, ["b", "place"]).groupBy("a", "b").agg(F.sum(F.abs(F.col("ka") - F.col("kb"))).alias("delta"))
+    wanted = pairs.select("a", "b").distinct()
+    met = wanted.join(one, "a").join(two, ["b", "place"]).select("a", "b", "place", F.abs(F.col("ka") - F.col("kb")).alias("d"))
+    if stop is not None:
+        # Pre-order: child indexes compared as numbers, a place before those below it.
+        steps = F.transform(F.filter(F.split("place", "/"), lambda s: s != ""), lambda s: s.cast("int"))
+        upto = Window.partitionBy("a", "b").orderBy(steps).rowsBetween(Window.unboundedPreceding, -1)
+        met = met.withColumn("before", F.coalesce(F.sum("d").over(upto), F.lit(0))).filter(F.col("before") < stop)
+    sums = met.groupBy("a", "b").agg(F.sum("d").alias("delta"))
+    return wanted.join(sums, ["a", "b"], "left").select("a", "b", F.coalesce("delta", F.lit(0)).alias("delta"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import graph
 from corpusloom.plans.catalog import query, table
+from corpusloom.storage import scratch
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +43,16 @@ def first_seen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.first_seen_ids(_events(spark, sf_dir), "user_id", "event_id")
 
 
-@query("select 0::bigint as violations")
+@query("""
+with ids as (select event_id * 2 % 1009 as id from events),
+s as (select count(*) as n, count(distinct id) as d, count(*) filter (id < 0) as below, max(id) as hi from ids)
+select 'bad' as ids, n - d + below + abs(coalesce(hi + 1, 0) - n) as violations from s union all select 'good', 0
+""")
 def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.integrity(first_seen_ids(spark, sf_dir))
+    """Violations among the dense ids, and among ids with repeats and gaps."""
+    bad = _events(spark, sf_dir).select((F.col("event_id") * 2 % 1009).alias("id"))
+    checked = [graph.integrity(ids).select(F.lit(name).alias("ids"), "violations") for name, ids in (("good", first_seen_ids(spark, sf_dir)), ("bad", bad))]
+    return checked[0].unionByName(checked[1])
 
 
 @query(f"with {_EDGES} select src, dst from edges")
@@ -201,13 +209,40 @@ def event_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select user_id, event_type, count(*) as visits, min(ts) as first_ts, max(ts) as last_ts from events group by all")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by a streaming query over the event files, run until it has read what is there."""
-    import tempfile
-    import uuid
+    from corpusloom.streaming.upsert import upkeep, visits_of_batches
 
-    from corpusloom.streaming.upsert import run_once, visits
+    return upkeep(_event_stream(spark, sf_dir), scratch(spark, "stream"), visits_of_batches)["visits"]
 
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _events(spark, sf_dir).schema
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-    name = uuid.uuid4().hex
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return run_once(visits(source), f"{shared}/stream/{name}", f"visits_{name}")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+@query("""
+with p as (select user_id, event_id, lag(event_type) over (partition by user_id order by event_id) as src, event_type as dst from events)
+select src, dst, count(*) as steps, min(event_id) as first_seq from p where src is not null group by src, dst
+""")
+def stream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges kept up by a stream: steps between consecutive nodes of a walker, across batches too."""
+    from corpusloom.streaming.upsert import upkeep, walks_of_batches
+
+    return upkeep(_event_stream(spark, sf_dir), scratch(spark, "stream"), walks_of_batches)["edges"].select("src", "dst", "steps", "first_seq")
+
+
+@query("select user_id, event_type as node, arg_max(event_id, event_id) as last_seq, arg_max(value, event_id) as flag from events group by all")
+def stream_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frontier kept up by a stream: the last flag of each walker's node."""
+    from corpusloom.streaming.upsert import upkeep, walks_of_batches
+
+    return upkeep(_event_stream(spark, sf_dir), scratch(spark, "stream"), walks_of_batches)["frontier"].select("user_id", "node", "last_seq", "flag")
+
+
+@query("select user_id, event_type as node, min(event_id) as page_id, (select min(event_id) from events f where f.event_type = events.event_type) as unique_id from events group by all")
+def stream_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and their canonical ones kept up by a stream: a node's first page anywhere stands for it."""
+    from corpusloom.streaming.upsert import upkeep, walks_of_batches
+
+    made = upkeep(_event_stream(spark, sf_dir), scratch(spark, "stream"), walks_of_batches)
+    canon = made["canonical"].select("node", "unique_id")
+    return made["pages"].join(canon, "node").select("user_id", "node", "page_id", "unique_id")

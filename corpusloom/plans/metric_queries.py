@@ -257,14 +257,16 @@ def nav_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 with types(lang) as (values ('en'), ('de'), ('fr'), ('es'), ('xx')), r as (
   select d.lang, d.source, cast(contains(replace(trim(lower(d.text), e' \\t\\n\\r'), chr(10), ' '), replace(trim(lower(b.text), e' \\t\\n\\r'), chr(10), ' ')) as int) as hit
-  from documents d join benchmark b on b.item_id = d.doc_id % 40)
+  from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark))
 select t.lang, cast(coalesce(sum(hit), 0) as bigint) as total, count(hit) as n, round(coalesce(sum(hit) / nullif(count(hit), 0), 0), 6) as accuracy from types t left join r on r.lang = t.lang group by t.lang
 """)
 def containment_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits by type over a fixed catalogue, types without rows included."""
     types = spark.createDataFrame([(x,) for x in ("en", "de", "fr", "es", "xx")], "lang string")
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.array("text").alias("answers"))
-    rows = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 40).join(bench, "k")
+    items = bench.agg(F.count("*").alias("items"))
+    keyed = table(spark, sf_dir, "documents").crossJoin(F.broadcast(items)).withColumn("k", F.col("doc_id") % F.col("items"))
+    rows = keyed.join(bench, "k")
     scored = rows.select(F.col("lang").alias("l"), metrics.contains_any(F.col("text"), F.col("answers")).alias("hit"))
     sums = scored.groupBy("l").agg(F.sum("hit").alias("total"), F.count("*").alias("n"))
     joined = F.broadcast(types).join(sums, F.col("lang") == F.col("l"), "left")
@@ -273,12 +275,13 @@ def containment_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HISTORY = """
-h as (select user_id, list(distinct event_type) as history from events where value > 60 group by user_id)
+h as (select user_id, coalesce(list(distinct event_type) filter (value > 60), []) as history from events group by user_id)
 """
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("value > 60").groupBy("user_id").agg(F.collect_set("event_type").alias("history"))
+    """What each user has done with a value above 60; users without such an event have an empty history."""
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("value") > 60, F.col("event_type"))).alias("history"))
 
 
 @query(f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import first_column_without_mark, stripped
@@ -88,9 +88,10 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, sep: str = ",", header: bool = True, mode: str = "errorifexists") -> int:
-    """Writes a CSV or, with a tab, a TSV table and returns its rows."""
-    df.write.mode(mode).csv(path, sep=sep, header=header)
-    return df.count()
+    """Writes a CSV or, with a tab, a TSV table and returns its rows, which are counted while they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).csv(path, sep=sep, header=header)
+    return seen.get["rows"]
 
 
 def write_dictionary(rows: DataFrame, path: str, key: str = "key", value: str = "value", mode: str = "errorifexists") -> int:
@@ -140,8 +141,28 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("id", "app", "package_name", "query", many.alias("check_point"))
 
 
-def read_apps(spark: SparkSession, path: str) -> DataFrame:
-    """name, ord, adb, text of an app catalogue; the first entry of a name counts."""
-    raw = read_json(spark, path, "data array<struct<name_en:string,adb:array<string>,text:array<string>>>")
-    rows = raw.select(F.posexplode("data").alias("ord", "a")).select("ord", F.col("a.name_en").alias("name"), "a.adb", "a.text")
-    return rows.groupBy("name").agg(F.min_by(F.struct("ord", "adb", "text"), "ord").alias("a")).select("name", "a.*")
+def read_apps(spark: SparkSession, path: str, by: str = "name") -> DataFrame:
+    """by, ord and the rest of name, package, adb, text of an app catalogue; the first entry of a name or package counts."""
+    raw = read_json(spark, path, "data array<struct<name_en:string,package:string,adb:array<string>,text:array<string>>>")
+    rows = raw.select(F.posexplode("data").alias("ord", "a")).select("ord", F.col("a.name_en").alias("name"), "a.package", "a.adb", "a.text")
+    return first_by(rows, by, "ord")
+
+
+def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key; rows without a key are left out."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
+
+
+def of_mode(catalogue: DataFrame, mode: str, column: str = "mode") -> DataFrame:
+    """The entries of a catalogue for one mode; none for a mode that is not in it."""
+    return catalogue.filter(F.col(column) == mode)
+
+
+def image_size(content: Column) -> Column:
+    """width, height of a PNG or GIF image's bytes, from its header; null for other bytes."""
+    number = lambda at, n: F.conv(F.hex(F.substring(content, at, n)), 16, 10).cast("int")
+    small = lambda at: number(at, 1) + 256 * number(at + 1, 1)
+    png = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A"
+    gif = F.hex(F.substring(content, 1, 4)) == "47494638"
+    return F.when(png, F.struct(number(17, 4).alias("width"), number(21, 4).alias("height"))).when(gif, F.struct(small(7).alias("width"), small(9).alias("height")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,37 +19,127 @@ def windowed_counts(log: DataFrame, node: str = "event_type", ts: str = "ts", wi
     return log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width), node).agg(F.count("*").alias("visits")).select("window.start", "window.end", node, "visits")
 
 
-def run_once(source: DataFrame, checkpoint: str, table: str, mode: str = "complete") -> DataFrame:
-    """Runs a streaming result over what is there now, into an in-memory table, and returns it."""
+def run_once(source: DataFrame, path: str, table: str, mode: str = "complete") -> DataFrame:
+    """Runs a streaming result over what is there now, written as Parquet below path by the executors, and returns it."""
+    spark: SparkSession = source.sparkSession
+    at = f"{path}/{table}"
+    kept = "overwrite" if mode == "complete" else "append"
+    query: StreamingQuery = (
+        source.writeStream.foreachBatch(lambda batch, _: batch.write.mode(kept).parquet(at)).outputMode(mode)
+        .option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(at)
+
+
+def upkeep(source: DataFrame, path: str, batches: Callable[[str], Callable[[DataFrame, int], None]]) -> dict[str, DataFrame]:
+    """Runs a stream over what is there now, each batch merged into tables below path, and returns the tables by name."""
     spark: SparkSession = source.sparkSession
     query: StreamingQuery = (
-        source.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        source.writeStream.foreachBatch(batches(path)).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.table(table)
+    return {name: table for name in TABLES if (table := latest(spark, f"{path}/{name}")) is not None}
+
+
+#: The tables that a crawl's log keeps up.
+TABLES = ("visits", "pages", "edges", "frontier", "canonical", "walkers")
+#: Parts of an upserted table by hash of the key; a batch rewrites those only that it touches.
+BUCKETS = 32
+
+
+def _manifest(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
+    """The batch that wrote each bucket last."""
+    newest = _last_version(spark, path, below)
+    return {r.bucket: r.version for r in newest.collect()} if newest is not None else {}  # a row per bucket
+
+
+def _buckets(spark: SparkSession, path: str, versions: dict[int, int]) -> DataFrame | None:
+    files = [f"{path}/data/version={v}/_bucket={b}" for b, v in sorted(versions.items())]
+    return spark.read.parquet(*files) if files else None
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """An upserted table as its last whole batch left it."""
+    return _buckets(spark, path, _manifest(spark, path))
+
 
+def merge_rows(path: str, batch_id: int, rows: DataFrame, keys: list[str], merged: list[Column]) -> None:
+    """Merges rows into the table at path: old and new rows of a key are aggregated by `merged`.
+
+    Only buckets that hold a key of the batch are read and written anew; the manifest is written last, so
+    a reader or a restarted query sees whole batches only, and a batch that runs again writes the same.
+    """
+    spark = rows.sparkSession
+    new = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).persist()
+    touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # BUCKETS at most
+    versions = _manifest(spark, path, below=batch_id)
+    old = _buckets(spark, path, {b: v for b, v in versions.items() if b in touched})
+    if old is not None:
+        new_and_old = new.unionByName(old.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")))
+    else:
+        new_and_old = new
+    new_and_old.groupBy("_bucket", *keys).agg(*merged).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/version={batch_id}")
+    new.unpersist()
+    now = versions | {b: batch_id for b in touched}
+    spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).write.mode("overwrite").parquet(f"{path}/_latest_{batch_id}")
+
+
+def visits_of_batches(path: str, who: str = "user_id", node: str = "event_type", ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps up the table of visits()."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        merged = [F.sum("visits").alias("visits"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
+        merge_rows(f"{path}/visits", batch_id, visits(batch, who, node, ts), [who, node], merged)
+
+    return merge
 
-def upsert_to(path: str, keys: list[str], order: str):
-    """A batch function for foreachBatch: the newest row of each key, merged with the table at path.
 
-    Each batch writes a new version beside the old one and then names it in _latest, so a reader
-    or a restarted query never sees half a table; a batch that runs again writes the same version.
+def walks_of_batches(path: str, who: str = "user_id", node: str = "event_type", seq: str = "event_id", flag: str = "value") -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps up what a crawl's log says.
+
+    pages (who, node, page_id: the first sequence number), edges (src, dst, steps, first_seq), frontier (who, node,
+    last_seq, flag: the last one wins), canonical (node, unique_id: the first page anywhere) and walkers (who, last_seq, node),
+    from which the first step of the next batch goes on. Batches must come in order of seq for each walker.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        before = latest(spark, path, below=batch_id)
-        if before is not None:
-            newest = before.unionByName(newest).groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).write.mode("append").parquet(f"{path}/_latest_{batch_id}")
+        log = batch.select(who, F.col(node).alias("node"), F.col(seq).alias("seq"), F.col(flag).alias("flag")).persist()
+        first = F.min("page_id").alias("page_id")
+        merge_rows(f"{path}/pages", batch_id, log.groupBy(who, "node").agg(F.min("seq").alias("page_id")), [who, "node"], [first])
+        merge_rows(f"{path}/canonical", batch_id, log.groupBy("node").agg(F.min("seq").alias("unique_id")), ["node"], [F.min("unique_id").alias("unique_id")])
+        newest = [F.max("last_seq").alias("last_seq"), F.max_by("flag", "last_seq").alias("flag")]
+        last = log.groupBy(who, "node").agg(F.max("seq").alias("last_seq"), F.max_by("flag", "seq").alias("flag"))
+        merge_rows(f"{path}/frontier", batch_id, last, [who, "node"], newest)
+        walkers = _buckets(spark, f"{path}/walkers", _manifest(spark, f"{path}/walkers", below=batch_id))
+        steps = log.select(who, "node", "seq", F.lit(True).alias("new"))
+        if walkers is not None:
+            steps = steps.unionByName(walkers.select(who, "node", F.col("last_seq").alias("seq"), F.lit(False).alias("new")))
+        before = F.lag("node").over(Window.partitionBy(who).orderBy("seq"))
+        made = steps.withColumn("src", before).filter("new and src is not null")
+        edges = made.groupBy("src", F.col("node").alias("dst")).agg(F.count("*").alias("steps"), F.min("seq").alias("first_seq"))
+        merge_rows(f"{path}/edges", batch_id, edges, ["src", "dst"], [F.sum("steps").alias("steps"), F.min("first_seq").alias("first_seq")])
+        ends = log.groupBy(who).agg(F.max("seq").alias("last_seq"), F.max_by("node", "seq").alias("node"))
+        merge_rows(f"{path}/walkers", batch_id, ends, [who], [F.max("last_seq").alias("last_seq"), F.max_by("node", "last_seq").alias("node")])
+        log.unpersist()
+
+    return merge
+
+
+def upsert_to(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
+    """A batch function for foreachBatch: the newest row of each key, merged with the table at path (see merge_rows)."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        others = [c for c in batch.columns if c not in keys]
+        merge_rows(path, batch_id, batch, keys, [F.max_by(c, order).alias(c) for c in others if c != order] + [F.max(order).alias(order)])
 
     return merge
 
 
-def latest(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest whole version of an upserted table, of those below a batch number if one is given."""
+def _last_version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    """The newest manifest of an upserted table, of those below a batch number if one is given."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.storage import shared_dir
+
 #: The white space of every contract here: space, tab, newline, vertical tab, form feed, return.
 WS = "\\x20\\x09-\\x0D"
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -27,21 +27,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set and the master is local, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            named = known.get()
-        elif re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            named = tempfile.mkdtemp(prefix="corpusloom-")
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 

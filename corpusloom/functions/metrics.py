@@ -95,6 +95,11 @@ def ref_text(action: Column) -> Column:
     return F.regexp_extract(action, r"<ref>([^,]+)</ref>", 1)
 
 
+def line_text(line: Column) -> Column:
+    """The text between a line's ref tags, else the whole stripped line."""
+    return F.coalesce(F.nullif(ref_text(line), F.lit("")), stripped(line))
+
+
 def action_text_match(predicted: Column, target: Column) -> Column:
     """1 if both actions have one verb and, for scrolls, one direction, else one text."""
     same = verb(predicted) == verb(target)

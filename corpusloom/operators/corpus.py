@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,15 @@ def large_enough(page: Column, file_bytes: Column | None = None, image_bytes: Co
     return ok
 
 
+#: Fixed value: how a text ends that stands for one that could not be made.
+ERROR = " error"
+
+
+def known(text: Column) -> Column:
+    """The text, null where it only says that there is none."""
+    return F.when(~text.endswith(ERROR) | text.contains("\n") | (F.size(F.split(text, " ")) != 2), text)
+
+
 def no_keyword(text: Column, keywords: list[str]) -> Column:
     return ~F.exists(F.array(*map(F.lit, keywords)), lambda k: text.contains(k))
 
@@ -83,6 +94,71 @@ def chat_rows(talks: DataFrame, key: str, max_len: int, system: str = "You are a
     return filled.withColumn("mask", F.transform("input", lambda w: w != pad))
 
 
+def byte_ids(text: Column) -> Column:
+    """Token ids of a text by its UTF-8 bytes, 0 to 255."""
+    h = F.hex(F.encode(text, "UTF-8"))
+    n = (F.length(h) / 2).cast("int")
+    some = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
+    return F.when(n > 0, some).otherwise(F.array().cast("array<int>"))
+
+
+def chat_ids(
+    talks: DataFrame, key: str, max_len: int, encode: Callable[[Column], Column] = byte_ids, start: int = 256, end: int = 257, pad: int = 258, system: str = "You are a helpful assistant."
+) -> DataFrame:
+    """key, input_ids, labels, attention_mask: chat_rows() in token ids, IGNORE where training does not look.
+
+    encode gives a text's ids; start and end are the marks around a turn, pad fills up. The newline is a token of the text's own.
+    """
+    one = lambda v: F.array(F.lit(v))
+    line = encode(F.lit("\n"))
+    skip = lambda n: F.array_repeat(F.lit(IGNORE), n)
+    close = F.concat(one(end), line)
+    head = F.concat(one(start), encode(F.lit("system")), line, encode(F.lit(system)))
+    turns = F.when(F.element_at(F.col("conversations"), 1)["from"] != "user", F.slice("conversations", F.lit(2), F.size("conversations"))).otherwise(F.col("conversations"))
+    turns = F.filter(turns, lambda t: t["from"].isin("user", "assistant"))
+    role = lambda t: F.concat(one(start), encode(t["from"]), line)
+    asked = lambda t: F.concat(one(start), skip(F.size(role(t)) + F.size(encode(t["value"])) - 1), close)
+    told = lambda t: F.concat(one(start), skip(F.size(role(t)) - 1), encode(t["value"]), close)
+    made = talks.select(
+        key,
+        F.concat(head, close, F.flatten(F.transform(turns, lambda t: F.concat(role(t), encode(t["value"]), close)))).alias("i"),
+        F.concat(one(start), skip(F.size(head) - 1), close, F.flatten(F.transform(turns, lambda t: F.when(t["from"] == "user", asked(t)).otherwise(told(t))))).alias("l"),
+    )
+    room = F.greatest(F.lit(max_len) - F.size("i"), F.lit(0))
+    full = lambda c, fill: F.slice(F.concat(c, F.array_repeat(F.lit(fill), room)), 1, max_len)
+    rows = made.select(key, full(F.col("i"), pad).alias("input_ids"), full(F.col("l"), IGNORE).alias("labels"))
+    return rows.withColumn("attention_mask", F.transform("input_ids", lambda t: t != pad))
+
+
+#: Instructions by task; those of a page's actions, description and next step stand on a line of their own.
+POOLS = {
+    "structure": ["List the texts on this page with their boxes.", "Write down each text and where it is.", "Read this page and give every text's place."],
+    "actions": ["What can be done on this page?", "List the actions that this page offers.", "Name all controls and what they accept."],
+    "locate": ["Where is {text}?", "Point to {text}.", "Find the box of {text}."],
+    "describe": ["Describe this page.", "Say in a sentence what this page is for.", "Sum up what is shown."],
+    "next": ["Which action leads to the second page?", "What was done between the two pages?", "Name the step from the first page to the next."],
+}
+OWN_LINE = ("actions", "describe", "next")
+
+
+def task_instruction(task: str, seed: str, *keys: str) -> Column:
+    """An instruction of the task's pool, by a hash of the keys."""
+    pick = picked(POOLS[task], seed, *keys)
+    return F.concat(F.lit("\n"), pick) if task in OWN_LINE else pick
+
+
+def grounding_pairs(labels: DataFrame, key: str, seed: str, boxed: bool = True) -> DataFrame:
+    """key, question, answer: for one labelled line of each page, chosen by hash, where its text stands.
+
+    labels(key, line, label, box) as element_labels() gives them; lines without a text are not asked about.
+    """
+    named = labels.filter((F.coalesce("label", F.lit("")) != "") & F.col("box").isNotNull())
+    order = F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), "line")).alias("h"), "line")
+    one = named.groupBy(key).agg(F.min_by(F.struct("label", "box"), order).alias("v"))
+    answer = F.concat(F.lit("<ref>"), "v.label", F.lit("</ref><box>"), "v.box", F.lit("</box>")) if boxed else F.concat("v.label", F.lit(", "), "v.box")
+    return one.select(key, filled(task_instruction("locate", seed, key), F.col("v.label")).alias("question"), answer.alias("answer"))
+
+
 def picked(pool: list[str], seed: str, *keys: str) -> Column:
     """One of the pool's templates, by a hash of the keys."""
     at = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long")

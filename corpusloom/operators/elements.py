@@ -164,11 +164,45 @@ def element_labels(zipped: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key, "line").agg(F.min_by(F.struct("label", "box"), "pos").alias("v")).select(key, "line", "v.label", "v.box")
 
 
-def to_model_action(raw: DataFrame, labels: DataFrame, key: str, parity: bool = False) -> DataFrame:
+def scroll_ends(box: Column, direction: Column) -> Column:
+    """The end points of a short scroll as they stand in a raw command."""
+    ends = short_scroll(box, direction)
+    return F.when(ends.isNotNull(), F.format_string("[%d, %d], [%d, %d]", ends.fx, ends.fy, ends.tx, ends.ty))
+
+
+def raw_command(action: Column, elements: Column) -> Column:
+    """The raw command of a model action; elements is a map from click actions and input references to what they stand for.
+
+    A click is looked up whole, an input by its first argument, with its text behind a comma; a scroll's end
+    points come from its box, with or without box tags. Null where a click or scroll stands for nothing.
+    """
+    verb = F.lower(stripped(F.element_at(F.split(action, r"\("), 1)))
+    scroll = r"\((?:<box>)?\[(\d+),(\d+)\]\[(\d+),(\d+)\](?:</box>)?,\s?(\w+)\)"
+    ends = scroll_ends(bounds(action), found(action, scroll, 5))
+    params = F.split(F.regexp_replace(F.regexp_extract(action, r"\((.*)$", 1), r"\)+$", ""), ", ")
+    line = F.element_at(elements, F.element_at(params, 1))
+    typed = F.coalesce(F.when(F.size(params) > 1, F.concat(line, F.lit(","), F.get(params, F.lit(1)))).otherwise(line), F.lit(""))
+    return (
+        F.when(verb == "click", F.element_at(elements, action))
+        .when(verb == "scroll", F.concat(F.lit("scroll("), ends, F.lit(")")))
+        .when(verb == "input", F.concat(F.lit("input("), typed, F.lit(")")))
+    )
+
+
+def to_model_action(raw: DataFrame, labels: DataFrame, key: str, parity: bool = False, scrolls: DataFrame | None = None) -> DataFrame:
     """raw(key, action) with model: the model action for verb(line[, text]); null where no line matches.
 
-    With parity a line that holds a comma never matches, as arguments were split there.
+    A scroll's end points are matched with those of the page's own scroll actions, scrolls(key, item). With parity a line that
+    holds a comma never matches, as arguments were split there, and neither does a scroll whose box has tags.
     """
+    if scrolls is not None:
+        box = bounds(F.col("item"))
+        usable = scrolls if not parity else scrolls.filter(~F.col("item").contains("<box>"))
+        ends = scroll_ends(box, found(F.col("item"), r",\s?(\w+)\)$"))
+        items = usable.select(key, "item", ends.alias("_ends")).groupBy(key, "_ends").agg(F.min("item").alias("_scroll"))
+        asked = raw.withColumn("_ends", found(F.col("action"), r"^scroll.*?(\[\d+, \d+\], \[\d+, \d+\])"))
+        met = asked.join(items, [key, "_ends"], "left")
+        return to_model_action(met, labels, key, parity).withColumn("model", F.coalesce("_scroll", "model")).select(*raw.columns, "model")
     verb = F.element_at(F.split("action", r"\("), 1)
     body = F.regexp_extract("action", r"^\w+\((.*)\)$", 1)
     line = F.when(verb == "input", F.regexp_extract(body, r"^(.*), '", 1)).otherwise(body)

@@ -126,6 +126,24 @@ def next_free_index(names: DataFrame, pattern: str) -> DataFrame:
     return names.agg((F.coalesce(F.max(n), F.lit(-1)) + 1).alias("next_index"))
 
 
+def last_name(names: DataFrame, pattern: str) -> DataFrame:
+    """name: the one with the highest number that pattern finds, the first by name on ties; no row where it finds none."""
+    n = F.nullif(F.regexp_extract("name", pattern, 1), F.lit("")).cast("long")
+    best = names.select("name", n.alias("n")).filter("n is not null").agg(F.min(F.struct((-F.col("n")).alias("n"), "name")).alias("b"))
+    return best.filter("b is not null").select("b.name")
+
+
+def by_suffix(names: DataFrame) -> DataFrame:
+    """name, place: the place from 0 of each distinct name in the order of its last segment followed by the name."""
+    key = F.concat(F.element_at(segments(F.col("name")), -1), "name")
+    return first_seen_ids(names.withColumn("_key", key), "name", "_key").select("name", F.col("id").alias("place"))
+
+
+def named_actions(log: DataFrame, ids: DataFrame, id_: str, name: str) -> DataFrame:
+    """log with the action's name for its id; null where the id is unknown, the first name where several have it."""
+    return log.join(ids.groupBy(id_).agg(F.min(name).alias(name)), id_, "left")
+
+
 def best_per_group(rows: DataFrame, group: str, value: str, seq: str) -> DataFrame:
     """The row with the highest value of each group, the later on ties."""
     order = Window.partitionBy(group).orderBy(F.col(value).desc(), F.col(seq).desc())

@@ -32,4 +32,4 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-from corpusloom.plans import corpus_queries, graph_queries, metric_queries, page_queries, retrieval_queries  # noqa: E402, F401
+from corpusloom.plans import action_queries, corpus_queries, graph_queries, metric_queries, page_queries, retrieval_queries  # noqa: E402, F401

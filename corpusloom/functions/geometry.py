@@ -117,7 +117,7 @@ def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 
 
 def tile_ratios(most: int = MOST_TILES, least: int = 1) -> list[tuple[int, int]]:
-    """Grids of at most `most` tiles, ordered by tiles and, among equals, in the order a set of small pairs is met."""
+    """Grids of at most `most` tiles, ordered by tiles and, among equals, by columns."""
     grids = {(i, j) for i in range(1, most + 1) for j in range(1, most + 1) if least <= i * j <= most}
     return sorted(grids, key=lambda g: (g[0] * g[1], g))
 

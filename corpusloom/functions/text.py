@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 ALL_CHINESE, ANY_CHINESE = "^[\\u4e00-\\u9fa5]*$", "[\\u4e00-\\u9fff]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it; generated code stays small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(c: Column, unicode: bool = False) -> Column:
     """Without white space at either end; unicode also counts no-break and other wide spaces."""
     return F.regexp_replace(c, ("(?U)" if unicode else "") + r"^\s+|\s+$", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.geometry import bounds, short_scroll
-from corpusloom.functions.text import attribute, found, inner_text, lines, stripped
+from corpusloom.functions.text import attribute, found, inner_text, let, lines, stripped
 
 DIRECTIONS = ("up", "down", "left", "right")
 CATEGORIES = ("Clickables", "Scrollables", "Inputs")
@@ -76,8 +76,9 @@ def command(action: Column, elements: Column, window_w: int, window_h: int) -> C
     line = F.coalesce(F.element_at(elements, index), F.lit(""))
     box = bounds(F.regexp_extract(line, r'bounds="([^"]+)"', 1))
     way = F.get(params, F.lit(1))
-    ends = F.when(F.size(params) > 2, long_scroll(box, way, window_w, window_h)).otherwise(short_scroll(box, way))
-    path = F.coalesce(F.format_string("([%d, %d], [%d, %d])", ends.fx, ends.fy, ends.tx, ends.ty), F.lit(""))
+    scroll = lambda b, w: F.when(F.size(params) > 2, long_scroll(b, w, window_w, window_h)).otherwise(short_scroll(b, w))
+    ends = let(F.struct(box.alias("b"), way.alias("w")), lambda s: scroll(s.b, s.w))
+    path = F.coalesce(let(ends, lambda e: F.format_string("([%d, %d], [%d, %d])", e.fx, e.fy, e.tx, e.ty)), F.lit(""))
     typed = F.when((F.size(params) > 1) & (line != ""), F.concat(line, F.lit(", '"), F.get(params, F.lit(1)), F.lit("'"))).otherwise(line)
     inner = F.when(verb == "scroll", path).when(verb == "input", typed).otherwise(line)
     return F.concat(F.when(verb.isin("click", "press", "zoom", "pinch", "scroll", "input"), verb).otherwise(""), F.lit("("), inner, F.lit(")"))
@@ -166,8 +167,8 @@ def element_labels(zipped: DataFrame, key: str) -> DataFrame:
 
 def scroll_ends(box: Column, direction: Column) -> Column:
     """The end points of a short scroll as they stand in a raw command."""
-    ends = short_scroll(box, direction)
-    return F.when(ends.isNotNull(), F.format_string("[%d, %d], [%d, %d]", ends.fx, ends.fy, ends.tx, ends.ty))
+    ends = let(F.struct(box.alias("b"), direction.alias("d")), lambda s: short_scroll(s.b, s.d))
+    return let(ends, lambda e: F.when(e.isNotNull(), F.format_string("[%d, %d], [%d, %d]", e.fx, e.fy, e.tx, e.ty)))
 
 
 def raw_command(action: Column, elements: Column) -> Column:

@@ -108,6 +108,22 @@ def round_robin(frontier: DataFrame, start: int, n: int, groups: str) -> DataFra
     return frontier.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
 
 
+def next_pages(frontier: DataFrame, starts: DataFrame, n: int, seed: str, shallow: int = 3) -> DataFrame:
+    """start, name_id: the row that comes next from each of a few starts(start); frontier(name_id, depth, ok).
+
+    A row that may be visited is its own next one. From another, the search begins at the following row where it is no
+    deeper than `shallow`, else at a row chosen by hash, and takes the first that may be visited, around n.
+    """
+    here = F.broadcast(starts.withColumnRenamed("start", "name_id"))
+    chance = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("name_id").cast("string"))), 1, 8), 16, 10).cast("long") % n
+    begin = F.when(F.col("ok"), F.col("name_id")).when(F.col("depth") <= shallow, (F.col("name_id") + 1) % n).otherwise(chance)
+    begins = frontier.join(here, "name_id").select(F.col("name_id").alias("start"), begin.alias("begin"))
+    # Per start one row of the frontier survives each partition, so what is shuffled is starts times partitions.
+    near = F.struct(F.pmod(F.col("name_id") - F.col("begin"), F.lit(n)).alias("d"), "name_id")
+    found = frontier.filter("ok").select("name_id").crossJoin(F.broadcast(begins)).groupBy("start").agg(F.min(near).alias("b"))
+    return found.select("start", F.col("b.name_id").alias("name_id"))
+
+
 def integrity(ids: DataFrame) -> DataFrame:
     """violations: ids (id) that are not 0 .. n-1, each once."""
     return ids.agg((F.count("*") - F.countDistinct("id") + F.coalesce(F.sum(F.when((F.col("id") < 0), 1)), F.lit(0)) + F.abs(F.coalesce(F.max("id") + 1, F.lit(0)) - F.count("*"))).cast("long").alias("violations"))

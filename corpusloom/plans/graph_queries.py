@@ -166,6 +166,18 @@ def round_robin_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.round_robin(f.filter("not done"), 17, f.count(), "flag").select("flag", "user_id", "name_id")
 
 
+@query(f"""
+with {_FLAGS}, f as (select name_id, n % 7 as depth, not done as ok from frontier), c as (select count(*) as m from f), s(start) as (values (0), (3), (7), (11), (12), (40)),
+b as (select start, case when ok then start when depth <= 3 then (start + 1) % m else cast(('0x' || substr(md5('w|' || start), 1, 8)) as bigint) % m end as begin_, m from s join f on name_id = start, c)
+select start, name_id from b join f on ok qualify row_number() over (partition by start order by ((name_id - begin_) % m + m) % m) = 1
+""")
+def next_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next page from a few places of the frontier, in order where the walk is shallow."""
+    f = _frontier(spark, sf_dir).select("name_id", (F.col("n") % 7).alias("depth"), (~F.col("done")).alias("ok"))
+    starts = spark.createDataFrame([(k,) for k in (0, 3, 7, 11, 12, 40)], "start long")
+    return graph.next_pages(f, starts, f.count(), "w")
+
+
 @query(f"""
 with {_PATHS}, pages as (select name, min(event_id) as page_id from paths group by name),
 holds as (select name as prefix, page_id as since from pages where page_id % 5 = 0)

@@ -180,3 +180,21 @@ def totals_over(catalogue: DataFrame, rows: DataFrame, key: str, value: str) ->
     """key, total for every entry of the catalogue, zeros included."""
     sums = rows.groupBy(key).agg(F.sum(value).alias("total"))
     return catalogue.join(sums, key, "left").select(*catalogue.columns, F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def mentions(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, longest: int = 8) -> DataFrame:
+    """key, name: the names, none of which holds a blank, that the text of a row holds anywhere, inside words too.
+
+    A name stands within a word, so names are looked for in the distinct words of all rows: a word and a name meet
+    by a part of the word that is as long as the name, or as `longest`, and equals its end. What is left is joined
+    to the rows by word. Null texts mention nothing; a name is given once for each row.
+    """
+    words = rows.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("word")).filter("word <> ''")
+    wanted = names.select(F.col(name).alias("name")).filter("name <> ''").distinct()
+    ends = wanted.withColumn("part", F.expr(f"right(name, {longest})"))
+    sizes = [r[0] for r in ends.select(F.length("part")).distinct().collect()]  # longest at most
+    spelt = lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda k: F.substring(F.col("word"), k, F.lit(n)))
+    parts = F.concat(*[F.when(F.length("word") >= n, spelt(n)).otherwise(F.array().cast("array<string>")) for n in sizes]) if sizes else F.array().cast("array<string>")
+    met = words.select("word").distinct().select("word", F.explode(F.array_distinct(parts)).alias("part")).join(ends, "part")
+    held = met.filter(F.col("word").contains(F.col("name"))).select("word", "name").distinct()
+    return words.join(held, "word").select(key, "name").distinct()

@@ -158,15 +158,13 @@ with n as (select distinct upper(regexp_extract(text, '^[^ ]+')) as name from be
 select d.doc_id, n.name from documents d join n on contains(upper(d.text), n.name)
 """)
 def app_api_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue entries that a text mentions. A small catalogue goes to all texts as one list, a larger one in parts by a cross join."""
+    """Catalogue entries that a text mentions. A small catalogue goes to all texts as one list, a larger one meets their words by parts of words."""
     bench = table(spark, sf_dir, "benchmark")
     names = bench.select(F.upper(F.regexp_extract("text", "^[^ ]+", 0)).alias("name")).filter("name <> ''").distinct()
     known = [r.name for r in names.limit(10_001).collect()]
     rows = spread(_docs(spark, sf_dir)).select("doc_id", F.upper("text").alias("t"))
-    if len(known) > 10_000:  # names are looked for inside words too, which no equi-join on words finds
-        part = F.pmod(F.xxhash64("name"), F.lit(names.count() // 10_000 + 1))
-        parts = names.groupBy(part.alias("part")).agg(F.collect_list("name").alias("known"))
-        return rows.crossJoin(parts).select("doc_id", F.explode(F.filter("known", lambda n: F.col("t").contains(n))).alias("name"))
+    if len(known) > 10_000:
+        return corpus.mentions(rows, "doc_id", "t", names, "name")
     hits = F.filter(F.array(*map(F.lit, known)), lambda n: F.col("t").contains(n)) if known else F.array().cast("array<string>")
     return rows.select("doc_id", F.explode(hits).alias("name"))
 

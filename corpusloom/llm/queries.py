@@ -1,4 +1,4 @@
-"""The ten operators' queries over whole tables, and their SQL where SQL can express them."""
+"""The operators' queries over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import exact_dedup, langid, minhash, mixing, quality, secret_scan, sentence_pieces, suffix_dedup, token_count, topk
+from corpusloom.llm import exact_dedup, langid, minhash, mixing, prefix_trie, quality, secret_scan, sentence_pieces, suffix_dedup, token_count, topk
 from corpusloom.llm.common import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES
     return token_count.report(spread(read(spark, sf_dir, "documents")), token_count.read_vocabulary(vocabulary), *token_count.read_fallbacks(vocabulary))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_counts": op10_token_counts,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _OP1_SQL = r"""
@@ -182,10 +187,56 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from s qualify rank <= 5
 """
 
+_OP13_SQL = r"""
+with recursive o as (
+  select cast(conv_id as bigint) as c, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k
+  from conversations where conv_id is not null
+), steps as (  -- crc32, bit by bit: a byte is xored in, then eight shifts follow
+  select c, max(k) as n, flatten(list_transform(list_transform(string_split(cast(c as varchar), ''), lambda x: ord(x)), lambda x: [x, -1, -1, -1, -1, -1, -1, -1, -1])) as s
+  from o group by c
+), plan as (
+  select c, n, c - c % 20 as base,
+         xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(s, lambda x: x::bigint)), lambda a, x:
+           case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384::bigint) else a // 2 end)) % 4 as h
+  from steps
+), led as (
+  select p.c, p.h, p.base, least(p.h, coalesce(b.n, 0)) as lead, least(p.h, coalesce(b.n, 0)) + greatest(p.n - p.h, 0) as n
+  from plan p left join plan b on b.c = p.base
+), t as (
+  select o.c, o.k - l.h + l.lead as d, role, text from o join led l using (c) where o.k > l.h
+  union all select l.c, o.k, role, text from led l join o on o.c = l.base and o.k <= l.lead
+), walk(c, d, path) as (
+  select c, 0::bigint, '' from led
+  union all
+  select w.c, t.d, sha256(w.path || '|' || length(role) || ':' || role || text) from walk w join t on t.c = w.c and t.d = w.d + 1
+), node as (
+  select d, path, min(c) as id, count(*) as n_convs from walk group by d, path
+), member as (
+  select w.c, w.d, n.id, n.n_convs, l.n from walk w join node n using (d, path) join led l on l.c = w.c
+), own as (
+  select m.d, m.id, any_value(m.n_convs) as n_convs,
+         any_value((m.n_convs - 1) * coalesce(len(regexp_extract_all(t.text, '[^\x20\x09-\x0D]+')), 0)) as saved,
+         sha256(coalesce(string_agg(cast(case when m.d = m.n then m.c end as varchar), ',' order by m.c), '')) as ends_sha256,
+         max(m.n) = m.d as leaf
+  from member m left join t on t.c = m.c and t.d = m.d group by m.d, m.id
+), under as (
+  select distinct a.d, a.id, b.d as bd, b.id as bid from member a join member b on a.c = b.c and b.d >= a.d
+), rolled as (
+  select u.d, u.id, count(*) filter (o.leaf) as n_leaves, sum(o.saved) as saved_tokens, count(*) filter (u.bd = u.d + 1) as n_children
+  from under u join own o on o.d = u.bd and o.id = u.bid group by u.d, u.id
+), parent as (
+  select distinct a.d, a.id, b.id as parent_conv_id from member a join member b on a.c = b.c and b.d = a.d - 1
+)
+select o.id as conv_id, o.d as depth, p.parent_conv_id, o.n_convs, r.n_children, r.n_leaves, cast(r.saved_tokens as bigint) as saved_tokens, o.ends_sha256
+from own o join rolled r using (d, id) left join parent p using (d, id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": _OP1_SQL,
     "op5_exact_top_k": _OP5_SQL,
     "op6_minhash_near_dedup": _OP6_SQL,
     "op8_source_mixing": _OP8_SQL,
     "op9_suffix_array_dedup": _OP9_SQL,
+    "op13_prefix_trie": _OP13_SQL,
 }

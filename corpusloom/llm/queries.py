@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import exact_dedup, langid, minhash, mixing, prefix_trie, quality, secret_scan, sentence_pieces, suffix_dedup, token_count, topk
+from corpusloom.llm import alignment, exact_dedup, langid, minhash, mixing, prefix_trie, quality, secret_scan, sentence_pieces, suffix_dedup, token_count, topk
 from corpusloom.llm.common import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 #: The public sentencepiece file whose pieces operators 2, 3 and 10 use.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: The public byte-level vocabulary that operator 12 aligns with them.
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +59,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES
     return token_count.report(spread(read(spark, sf_dir, "documents")), token_count.read_vocabulary(vocabulary), *token_count.read_fallbacks(vocabulary))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str, first: str = BYTE_LEVEL, second: str = PIECES) -> DataFrame:
+    return alignment.report(spread(read(spark, sf_dir, "documents")), first, second)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.report(read(spark, sf_dir, "conversations"))
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_counts": op10_token_counts,
+    "op12_token_alignment": op12_token_alignment,
     "op13_prefix_trie": op13_prefix_trie,
 }
 

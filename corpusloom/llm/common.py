@@ -20,6 +20,9 @@ BROADCAST_ROWS = 20_000
 #: Keys that hold more than a FREQUENT-th of all rows are joined by broadcast; there are no more than FREQUENT of them.
 FREQUENT = 1000
 
+#: So few rows are no burden to one task, whatever their keys: joins of no more are not split.
+FEW = 10_000
+
 _stashes: list[tuple[SparkSession, str]] = []
 
 
@@ -115,6 +118,26 @@ def split_join(rows: DataFrame, keyed: DataFrame, on: list[str], least: int) ->
     return settled.unionByName(rest.join(keyed.filter(F.col("times") < least).drop("times"), on))
 
 
+def copied_join(counted: DataFrame, rows: DataFrame, keyed: DataFrame, on: str) -> DataFrame:
+    """rows joined to keyed, which has one row per key and may have wide ones; counted has the keys of rows.
+
+    The row of a key that a FREQUENT-th of all rows or more have is copied as often as it exceeds that, and the rows are
+    dealt out among the copies: FREQUENT keys at most, and twice as many copies.
+    """
+    n = counted.count()
+    if n <= FEW:
+        return rows.join(keyed, on)
+    least = frequent_from(n)
+    hot = counted.groupBy(on).count().filter(F.col("count") >= least).select(on, F.ceil(F.col("count") / least).cast("int").alias("_parts"))
+    hot = stash(hot, "hot")
+    if hot.isEmpty():
+        return rows.join(keyed, on)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("_parts")
+    copies = keyed.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [on, "_part"]).drop("_part")
+
+
 def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int, salts: int = 16) -> DataFrame:
     """Joins a table of a counted size: broadcast within BROADCAST_ROWS, else by salted keys.
 

@@ -11,10 +11,11 @@ import pyarrow as pa
 BLOCK = 1 << 21
 
 _RNG = np.random.default_rng(20240607)
-#: A random odd-ish 64-bit code for each byte value, the multiplier of the polynomial hash and its inverse modulo 2**64.
-CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-MULT = 0x9E3779B97F4A7C15 | 5
-INVERSE = pow(MULT, -1, 1 << 64)
+#: Hashes are polynomials modulo this prime, one in each of two bases drawn once; no text cancels both for a reason of its own.
+PRIME = (1 << 31) - 1
+BASES = [int(b) for b in _RNG.integers(1 << 20, PRIME - 1, 2)]
+#: A code of each byte value for each base.
+CODE = _RNG.integers(1, PRIME, (2, 256), dtype=np.uint64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -22,14 +23,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**62."""
+    p, bits = np.uint64(PRIME), np.uint64(31)
+    x = (x & p) + (x >> bits)
+    x = (x & p) + (x >> bits)
+    return np.where(x >= p, x - p, x)
+
+
 def powers(base: int, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls and grown by doubling."""
+    """base**0 .. base**(n-1) modulo PRIME, kept between calls and grown by doubling."""
     have = _kept.get(base)
     if have is None or len(have) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
-        have = np.ones(1, np.uint64)
+        have = np.ones(1, np.uint32)
         while len(have) < size:
-            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
+            step = np.uint64(pow(base, len(have), PRIME))
+            have = np.concatenate([have, _reduced(have.astype(np.uint64) * step).astype(np.uint32)])
         _kept[base] = have
     return have[:n]
 
@@ -41,16 +51,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums, one longer than data; span_hash() turns them into hashes of spans."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(CODE[data] * powers(MULT, len(data)), out=out[1:])
+def _running(codes: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((2, len(codes[0]) + 1), np.uint64)
+    for lane, base, code in zip(out, BASES, codes):
+        np.cumsum(_reduced(code * powers(base, len(code))), out=lane[1:])
     return out
 
 
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """Running polynomial sums of bytes, one longer than data; span_hash() turns them into hashes of spans."""
+    return _running([code[data] for code in CODE])
+
+
+def prefix_hash_of(values: np.ndarray) -> np.ndarray:
+    """prefix_hash() for whole numbers of any size."""
+    x = mix(values.astype(np.uint64) + np.uint64(1))
+    return _running([_reduced(x >> np.uint64(2)), _reduced(mix(x) >> np.uint64(2))])
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of data[start:end], equal for equal bytes wherever they stand."""
-    return mix((prefix[end] - prefix[start]) * powers(INVERSE, len(prefix))[start] + (end - start).astype(np.uint64))
+    both = []
+    for lane, base in zip(prefix, BASES):
+        shift = powers(pow(base, -1, PRIME), len(lane))[start]
+        both.append(_reduced(_reduced(lane[end] - lane[start]) * shift))
+    return mix((both[0] << np.uint64(31) | both[1]) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def blocks(texts: list[bytes | None], size: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:

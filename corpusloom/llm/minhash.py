@@ -3,17 +3,11 @@
 One pass over the texts makes each document's set of distinct n-word shingles (64-bit hashes; five
 words unless the caller asks for another number), 224 minima, of which 2 bits each are kept and packed
 into 7 longs, and 37 keys of 6 minima each. Documents with equal sets are one class from then on, so
-copies never meet each other. Classes that share a band key are candidates of a few of the key's
-classes (stars, never all pairs); the packed signatures give a collision-corrected estimate by bit
+copies never meet each other. Classes that share a band key are candidates (near_links.py: stars, then
+members of different components); the packed signatures give a collision-corrected estimate by bit
 counts, and what could reach the threshold is confirmed on the full sets. Small sets, whose estimates
 are coarse, are confirmed without one.
 
-Links of a star's members among themselves are looked for where one key still spans several
-components: there, and only there, members of different components are compared with the same estimate
-inside the join's condition. Such a key is split by set size (at 0.8 the smaller set has at least 0.8
-of the larger one's shingles) and, beyond SPLIT members, dealt out to several tasks. Components come from
-large and small stars.
-
 A pair of similarity 0.8 shares no key with a probability of 1.3e-5 (0.85: 1e-8).
 
 Cases: null or blank text has an empty set (n_shingles 0) and is linked with nothing; a text of one
@@ -32,20 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
-from corpusloom.llm.common import frequent_from, small_batches, split_join, stash, whole_row
-from corpusloom.llm.components import connected
+from corpusloom.llm import near_links as N
+from corpusloom.llm.common import small_batches, stash, text_or_empty, whole_row
+from corpusloom.llm.near_links import PER_CENT, set_digest
 
 MINIMA, ROWS, BANDS, LOW_BITS = 224, 6, 37, 2
-#: Confirmed links: PER_CENT * union <= 100 * intersection. Estimates are let through 4.4 deviations below.
-PER_CENT, SLACK = 80, 0.14
-#: Centres of a key in the second round of stars.
-CENTRES = 8
-#: Sets of fewer shingles are confirmed without an estimate. Members of a key and size class that meet in one task.
-SMALL, SPLIT = 64, 2048
+#: Estimates are let through 4.4 deviations below the threshold, and sets of fewer shingles are confirmed without one.
+SLACK, SMALL = 0.14, 64
 #: Words of a shingle where no contract says otherwise.
 WORDS = 5
-#: Sizes of one class differ by less than this factor; above 1 / 0.8, so that linked sets are in the same class or in neighbours.
-SIZE_STEP = 1.3
 
 _RNG = np.random.default_rng(1709)
 _A = (_RNG.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -102,12 +91,7 @@ def _signature(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed.view(np.int64), keys.view(np.int64)
 
 
-def set_digest(hashes: np.ndarray) -> int:
-    """64 bits of a set; equal sets have equal ones."""
-    return int(K.mix(np.array([K.mix(hashes + np.uint64(7)).sum() + np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
-
-
-_SIGNED = "doc_id {id}, n_shingles long, node long, sig array<long>, keys array<long>"
+_SIGNED = "doc_id {id}, digest binary, n_shingles long, node binary, sig array<long>, keys array<long>"
 
 
 def _signed(words: int):
@@ -122,8 +106,8 @@ def _signed(words: int):
                 keys.append(key)
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (sigs, keys)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists],
-                ["doc_id", "n_shingles", "node", "sig", "keys"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.binary()), *lists],
+                ["doc_id", "digest", "n_shingles", "node", "sig", "keys"],
             )
 
     return sign
@@ -133,12 +117,19 @@ def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = list(shingle_sets(K.column_bytes(batch, "text"), words))
-            ids = pa.array([set_digest(s) for s in made], pa.int64())
+            ids = pa.array([set_digest(s) for s in made], pa.binary())
             yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], ["node", "hashes"])
 
     return sets
 
 
+def full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, hashes: the full sets of the wanted classes, made anew from one document of each."""
+    ids = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct()
+    needed = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    return needed.select("text").mapInArrow(_sets(words), "node binary, hashes array<long>").dropDuplicates(["node"])
+
+
 def estimate(a: Column, b: Column) -> Column:
     """Similarity from two packed signatures: equal low bits, corrected for chance agreement."""
     odd = F.lit(0x5555555555555555)
@@ -151,97 +142,16 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1 - differ / MINIMA) - chance) / (1 - chance)
 
 
-def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """node, hashes: the full sets of the wanted classes, made anew from one document of each."""
-    ids = nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("_rep")).distinct()
-    needed = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    return stash(needed.select("text").mapInArrow(_sets(words), "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs u, v whose full sets are similar enough."""
-    both = F.size(F.array_intersect("a", "b"))
-    return (
-        pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
-        .join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-        .filter(both * 100 >= (F.size("a") + F.size("b") - both) * PER_CENT)
-        .select("u", "v")
-    )
-
-
-def _placed(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """key, node, root, held of the keys that still hold more than one component; held: the key's classes."""
-    placed = shared.withColumn("root", F.col("node"))
-    if roots is not None:
-        placed = stash(shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
-    keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("held")).filter("lo < hi")
-    return placed.join(keys.select("key", "held"), "key")
-
-
-def _stars(placed: DataFrame, centres: int) -> DataFrame:
-    """u, v: each member of a key with some of the key's members (the smallest by as many hashes)."""
-    chosen = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")) for k in range(centres)]
-    centre = placed.groupBy("key").agg(F.array(*chosen).alias("c")).select("key", F.explode(F.array_distinct("c")).alias("c"))
-    pairs = placed.join(centre, "key").filter(F.col("root") != F.col("c.root"))
-    return pairs.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
-
-
 def _close(least: float) -> Column:
     """Whether x and y may be linked, by their sizes and signatures."""
-    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    return (small * 100 >= large * PER_CENT) & ((small < SMALL) | (estimate(F.col("x.sig"), F.col("y.sig")) >= least))
-
-
-def _likely(pairs: DataFrame, sig: DataFrame, least: float) -> DataFrame:
-    return (
-        pairs.join(sig.alias("x"), F.col("u") == F.col("x.node"))
-        .join(sig.alias("y"), (F.col("v") == F.col("y.node")) & _close(least))
-        .select("u", "v")
-    )
-
-
-def _blocks(rows: DataFrame, as_partner: bool) -> DataFrame:
-    """rows with block: a class and its possible partners have one block in common, for each key and size class.
-
-    A class stands in one block of its key: its size class and one of the parts that a large key has. As a partner it
-    stands in the three size classes around its own, in every part.
-    """
-    size = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
-    parts = F.ceil(F.col("held") / SPLIT).cast("int")
-    if not as_partner:
-        return rows.withColumn("block", F.struct("key", size.alias("size"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")))
-    sizes = F.array(*[size + k for k in (-1, 0, 1)])
-    return (
-        rows.withColumn("_size", F.explode(sizes)).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .withColumn("block", F.struct("key", F.col("_size").alias("size"), F.col("_part").alias("part"))).drop("_size", "_part")
-    )
-
-
-def _across(placed: DataFrame, nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The links u, v between members of one key in different components.
-
-    Rows without a likely partner leave first, by a semi-join; the others carry their full sets into
-    the join. Both look at a pair in the least of its common keys only, and the second confirms it
-    there, so that no row is made for a pair that is no link.
-    """
-    signed = stash(placed.join(nodes.select("node", "size", "sig", "keys"), "node"), "mixed")
-    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
-    meet = (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & _close(least) & once
-    some = _blocks(signed, False).alias("x").join(_blocks(signed, True).alias("y"), meet, "left_semi").drop("block")
-    full = stash(some.join(sets, "node"), "likely")
-    both = F.size(F.array_intersect("x.hashes", "y.hashes"))
-    linked = both * 100 >= (F.size("x.hashes") + F.size("y.hashes") - both) * PER_CENT
-    return (
-        _blocks(full, False).alias("x")
-        .join(_blocks(full, True).alias("y"), meet & (F.col("x.root") < F.col("y.root")) & linked)
-        .select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
-    )
+    small = F.least("x.size", "y.size") < SMALL
+    return N.similar_sizes(F.col("x.size"), F.col("y.size")) & (small | (estimate(F.col("x.sig"), F.col("y.sig")) >= least))
 
 
 def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """The signed documents, their classes (node, rep, times, ..) and node, root of the classes' components (None: no two are linked)."""
     small_batches(docs.sparkSession)
-    slim = docs.select("doc_id", "text")
+    slim = docs.select("doc_id", F.unhex(F.md5(text_or_empty().cast("binary"))).alias("digest"), "text")
     signed = stash(slim.mapInArrow(_signed(words), _SIGNED.format(id=docs.schema["doc_id"].dataType.simpleString())), "signed")
     nodes = stash(
         signed.filter("node is not null").groupBy("node").agg(
@@ -252,49 +162,33 @@ def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, Da
     members = nodes.select("node", F.explode("keys").alias("key"))
     often = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     shared = stash(members.join(often, "key", "left_semi"), "shared")
-    sig = nodes.select("node", "size", "sig")
-    sets = _full_sets(shared.select("node").distinct(), nodes, slim, words)
-    roots = None
-    floor = PER_CENT / 100 - SLACK
-    # Stars first, from one centre and then from several, as they cost no more than their rows; then every
-    # pair of members that are still in different components.
-    for step in (
-        lambda p: _confirmed(_likely(_stars(p, 1), sig, floor), sets),
-        lambda p: _confirmed(_likely(_stars(p, CENTRES), sig, floor), sets),
-        lambda p: _across(p, nodes, sets, floor),
-    ):
-        placed = _placed(shared, roots)
-        if placed.isEmpty():
-            break
-        found = stash(step(placed), "links")
-        if not found.isEmpty():
-            if roots is not None:
-                found = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-            roots = connected(found)
+    roots = N.components(shared, nodes.select("node", "size", "sig"), _close(PER_CENT / 100 - SLACK), lambda wanted: full_sets(wanted, nodes, slim, words))
     return signed, nodes, roots
 
 
 def report(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document.
+    """doc_id, n_shingles, component_id, kept: one row per document."""
+    out = N.report(*_found(docs, words))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
-    Components are settled on classes; documents only look up their own class, by a join that is split
-    for classes of very many copies.
-    """
+
+def _found(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     signed, nodes, roots = links(docs, words)
-    named = nodes.select("node", "times", F.col("rep").alias("least"))
-    if roots is not None:
-        placed = stash(nodes.select("node", "times", "rep").join(roots, "node", "left").select("node", "times", "rep", F.coalesce("root", "node").alias("root")), "classes")
-        of_root = placed.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("times"))
-        found = split_join(placed.withColumnRenamed("times", "copies"), of_root, ["root"], frequent_from(placed.count()))
-        named = stash(found.select("node", F.col("copies").alias("times"), "least"), "named")
-    some = split_join(signed.filter("node is not null").select("doc_id", "n_shingles", "node"), named, ["node"], frequent_from(signed.count()))
-    none = signed.filter("node is null").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("least"))
-    out = some.unionByName(none)
-    return out.select("doc_id", "n_shingles", F.col("least").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("least")).alias("kept"))
+    return signed.select("doc_id", "digest", "n_shingles", "node"), nodes, roots
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs with one document of each component, columns unchanged; rows without any word stay."""
-    kept = report(docs, words).filter("kept").select("doc_id")
-    rows = docs.select(whole_row(docs).alias("doc"))
-    return rows.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("doc_id")), "left_semi").select("doc.*")
+    """docs with one document of each component, columns unchanged; rows without any word stay.
+
+    The smallest doc_id stays, with all rows that have it; where a component has null ids only, the text of the least
+    digest, with all rows equal to it.
+    """
+    found = N.report(*_found(docs, words)).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = found.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), F.lit(None).cast("binary").alias("_digest"))
+    nameless = found.filter("doc_id is null")
+    wordless = nameless.filter("node is null").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    least = nameless.filter("node is not null").groupBy("root").agg(F.min("digest").alias("_digest"))
+    kept = named.unionByName(wordless).unionByName(least.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("_id"), "_digest")).distinct()
+    rows = docs.select(whole_row(docs).alias("doc"), F.col("doc_id").alias("_key"), F.unhex(F.md5(text_or_empty().cast("binary"))).alias("_text"))
+    same = F.col("_key").eqNullSafe(F.col("_id")) & F.when(F.col("_key").isNull(), F.col("_text")).eqNullSafe(F.col("_digest"))
+    return rows.join(kept, same, "left_semi").select("doc.*")

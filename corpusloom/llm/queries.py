@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import alignment, exact_dedup, langid, minhash, mixing, prefix_trie, quality, secret_scan, sentence_pieces, suffix_dedup, token_count, topk
+from corpusloom.llm import alignment, exact_dedup, langid, minhash, mixing, ngram_join, prefix_trie, quality, secret_scan, sentence_pieces, suffix_dedup, token_count, topk
 from corpusloom.llm.common import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES
     return token_count.report(spread(read(spark, sf_dir, "documents")), token_count.read_vocabulary(vocabulary), *token_count.read_fallbacks(vocabulary))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(spread(read(spark, sf_dir, "documents")))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str, first: str = BYTE_LEVEL, second: str = PIECES) -> DataFrame:
     return alignment.report(spread(read(spark, sf_dir, "documents")), first, second)
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_ngram_join": op11_ngram_join,
     "op12_token_alignment": op12_token_alignment,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -160,6 +165,30 @@ select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(l.component_id
 from s left join least_of l on len(s.s) > 0 and l.c = md5(array_to_string(list_sort(s.s), chr(10)))
 """
 
+_OP11_SQL = r"""
+with recursive w as (
+  select rowid as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from (select row_number() over () as rowid, * from documents)
+), s as (
+  select r, doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w
+), class as (
+  select md5(array_to_string(list_sort(s), chr(10))) as c, min(doc_id) as rep, len(any_value(s)) as n, any_value(s) as s from s where len(s) > 0 group by c
+), t as (select c, n, unnest(s) as t from class),
+f as (select t, count(*) as df from t group by t having count(*) > 1),
+p as (select c, n, t, row_number() over (partition by c order by coalesce(df, 1), t) as k, df from t left join f using (t)),
+rare as (select c, n, t from p where df is not null and k <= n - ceil(0.8 * n) + 1),
+pair as (select distinct a.c as a, b.c as b from rare a join rare b on a.t = b.t and a.c < b.c and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+edge as (
+  select a, b from pair join class x on x.c = a join class y on y.c = b
+  where 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))
+), both_ways as (select a, b from edge union all select b, a from edge),
+reach(c, via) as (select c, c from class union select reach.c, e.b from reach join both_ways e on e.a = reach.via),
+least_of as (select reach.c, min(k.rep) as component_id from reach join class k on k.c = reach.via group by reach.c)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(l.component_id, s.doc_id) as component_id
+from s left join least_of l on len(s.s) > 0 and l.c = md5(array_to_string(list_sort(s.s), chr(10)))
+"""
+
 _OP9_SQL = r"""
 with d as (
   select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents
@@ -245,5 +274,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash_near_dedup": _OP6_SQL,
     "op8_source_mixing": _OP8_SQL,
     "op9_suffix_array_dedup": _OP9_SQL,
+    "op11_ngram_join": _OP11_SQL,
     "op13_prefix_trie": _OP13_SQL,
 }

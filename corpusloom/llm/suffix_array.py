@@ -138,10 +138,7 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
         found = found[is_lms[found]]
         ends = np.full(n, n, np.int32)
         ends[lms[:-1]] = lms[1:] + 1
-        prefix = np.zeros(n + 1, np.uint64)
-        code = K.mix(text.astype(np.uint64) + np.uint64(1))
-        np.cumsum(code * K.powers(K.MULT, n), out=prefix[1:])
-        label = K.span_hash(prefix, found, ends[found])
+        label = K.span_hash(K.prefix_hash_of(text), found, ends[found])
         label[found == lms[-1]] = 0  # alone: it runs into the end
         names = np.cumsum(np.append(0, label[1:] != label[:-1])).astype(np.int32)
         if names[-1] + 1 == len(lms):
@@ -162,8 +159,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, least: int) -> tuple[np
     n = len(text)
     phi = np.full(n, -1, np.int32)
     phi[order[1:]] = order[:-1]
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(K.mix(text.astype(np.uint64) + np.uint64(1)) * K.powers(K.MULT, n), out=prefix[1:])
+    prefix = K.prefix_hash_of(text)
     apart = np.ones(n, bool)
     apart[1:] = (phi[1:] < 1) | (text[:-1] != text[np.maximum(phi[1:], 1) - 1])
     heads = np.flatnonzero(apart)

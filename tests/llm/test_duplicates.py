@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm import minhash, suffix_array, suffix_dedup
+from corpusloom.llm import components, minhash, near_links, ngram_join, suffix_array, suffix_dedup
 from corpusloom.llm.components import connected
 from tests.llm.fixtures import awkward, documents, prose
 
@@ -162,12 +162,58 @@ def test_suffix_dedup_of_nothing_and_of_repeated_rows(spark):
     assert sorted((r.n_removed, r.n_spans) for r in got) == [(0, 0), (len(text), 1), (len(text), 1)]
 
 
-def test_a_large_key_is_split_and_loses_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("operator", [minhash, ngram_join])
+def test_a_large_key_is_split_and_loses_no_link(spark, monkeypatch, operator):
     """Stars that link nothing, so that every link is found across components, in keys of many parts."""
-    monkeypatch.setattr(minhash, "SPLIT", 3)
-    monkeypatch.setattr(minhash, "_confirmed", lambda pairs, sets: pairs.filter("false").select("u", "v"))
+    monkeypatch.setattr(near_links, "SPLIT", 3)
+    monkeypatch.setattr(near_links, "confirmed", lambda pairs, sets: pairs.filter("false").select("u", "v"))
     rng = random.Random(5)
     base = prose(rng, 200, 5000)
     texts = [near(rng, base, rng.choice([0.0, 0.02, 0.05, 0.1])) for _ in range(40)] + [base + " " + prose(rng, n) for n in range(0, 60, 7)]
-    got = {r.doc_id: r.component_id for r in minhash.report(documents(spark, texts), 2).collect()}
+    got = {r.doc_id: r.component_id for r in operator.report(documents(spark, texts), 2).collect()}
     assert [got[i] for i in range(len(texts))] == plain_components(list(range(len(texts))), list(plain_sets(texts)))
+
+
+def cancelling(n):
+    """Two texts of 2**n letters that sums of powers of an odd base cannot tell apart modulo powers of two."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("operator", [minhash, ngram_join])
+def test_words_made_to_cancel_are_different(spark, operator):
+    x, y = cancelling(10)
+    got = {r.doc_id: r for r in operator.report(documents(spark, [x, y, f"{x} {y} {x}", f"{y} {x} {y}"]), 2).collect()}
+    assert [got[i].component_id for i in range(4)] == [0, 1, 2, 2]
+    assert [got[i].n_shingles for i in range(4)] == [1, 1, 2, 2]
+
+
+def test_near_copies_without_ids(spark):
+    def kept(texts, ids):
+        return sorted(((r.doc_id, r.text) for r in minhash.keep_one(documents(spark, texts, ids)).collect()), key=str)
+
+    t = prose(random.Random(2), 80)
+    assert kept([t, t, ""], [1, None, None]) == [(1, t), (None, "")]
+    assert kept([t, t + " end", t.upper(), " ", None], [None] * 5) in (sorted([(None, " "), (None, None), (None, x)], key=str) for x in (t, t + " end", t.upper()))
+    assert kept([t, t], [None, None]) == [(None, t), (None, t)]  # equal rows share their flags
+    assert kept(["a b", "c d", "e f"], [None, None, 3]) == [(3, "e f"), (None, "a b"), (None, "c d")]
+
+
+def test_hot_stars_keys_and_centres_are_split(spark, monkeypatch):
+    """With every join split, one star of many members and a path give the same components."""
+    for module in (components, near_links):
+        monkeypatch.setattr(module, "frequent_from", lambda rows: 3)
+    monkeypatch.setattr(components, "FEW", 0)
+    monkeypatch.setattr("corpusloom.llm.common.FEW", 0)
+    monkeypatch.setattr("corpusloom.llm.common.FREQUENT", 20)
+    edges = spark.createDataFrame([(500, i) for i in range(100)] + [(i, i + 1) for i in range(600, 620)], "u long, v long")
+    assert {r.node: r.root for r in connected(edges).collect()} == {i: 0 for i in [*range(1, 100), 500]} | {i: 600 for i in range(601, 621)}
+    rng = random.Random(8)
+    base = prose(rng, 100, 5000)
+    texts = [near(rng, base, 0.01) for _ in range(60)] + [prose(rng, 60, 5000) for _ in range(20)]
+    want = plain_components(list(range(len(texts))), list(plain_sets(texts, 5)))
+    for operator in (minhash, ngram_join):
+        got = {r.doc_id: r.component_id for r in operator.report(documents(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
-    """x modulo PRIME, for x below 2**62."""
+    """x modulo PRIME, for any x."""
     p, bits = np.uint64(PRIME), np.uint64(31)
     x = (x & p) + (x >> bits)
     x = (x & p) + (x >> bits)
@@ -51,22 +51,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _running(codes: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((2, len(codes[0]) + 1), np.uint64)
-    for lane, base, code in zip(out, BASES, codes):
-        np.cumsum(_reduced(code * powers(base, len(code))), out=lane[1:])
+#: Elements that the running sums are made of at a time, so that they stay in a core's cache.
+_STEP = 1 << 14
+
+
+def _running(n: int, codes: Callable[[int, slice], np.ndarray]) -> np.ndarray:
+    """Per base the running sums of codes times powers, each term below 2**32, which sums of 2**31 terms cannot overflow."""
+    out = np.zeros((2, n + 1), np.uint64)
+    p, bits = np.uint64(PRIME), np.uint64(31)
+    for k, base in enumerate(BASES):
+        scale, upto = powers(base, n), np.uint64(0)
+        for at in range(0, n, _STEP):
+            part = slice(at, min(at + _STEP, n))
+            x = codes(k, part) * scale[part]
+            high = x >> bits
+            x &= p
+            x += high
+            x[0] += upto
+            np.cumsum(x, out=out[k, part.start + 1 : part.stop + 1])
+            upto = out[k, part.stop]
     return out
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums of bytes, one longer than data; span_hash() turns them into hashes of spans."""
-    return _running([code[data] for code in CODE])
+    return _running(len(data), lambda k, part: CODE[k][data[part]])
 
 
 def prefix_hash_of(values: np.ndarray) -> np.ndarray:
     """prefix_hash() for whole numbers of any size."""
     x = mix(values.astype(np.uint64) + np.uint64(1))
-    return _running([_reduced(x >> np.uint64(2)), _reduced(mix(x) >> np.uint64(2))])
+    both = [_reduced(x), _reduced(mix(x))]
+    return _running(len(x), lambda k, part: both[k][part])
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

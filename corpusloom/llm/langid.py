@@ -164,12 +164,15 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, sample: int = SAMPLE
         idf[r.bucket] = np.log((1 + total) / (1 + r.texts)) + 1
     model = Model(sorted(counts), idf)
     share = max(1, sample // len(counts))
-    # Some more than the share by rate, so that the share's least hashes are among them; equal texts count once.
-    rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * share + 64) / n))])
-    hashed = may.select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    drawn = hashed.filter(F.col("h") < F.element_at(rates, F.col("lang")) * (1 << 30)).dropDuplicates(["lang", "digest"])
-    least = Window.partitionBy("lang").orderBy("h", "digest")
-    chosen = drawn.withColumn("k", F.row_number().over(least)).filter(F.col("k") <= share)
+    # Equal texts count once. The share's least hashes come from a bounded number of rows: of each language and salt, then of each language.
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    distinct = may.select("lang", key.alias("digest")).distinct().withColumn("salt", F.substring("digest", 31, 2))
+    drawn = distinct
+    for parts in (["lang", "salt"], ["lang"]):
+        least = Window.partitionBy(*parts).orderBy("digest")
+        drawn = drawn.withColumn("k", F.row_number().over(least)).filter(F.col("k") <= share)
+    drawn = drawn.select("lang", "digest")  # share rows a language at most
+    chosen = may.select("text", "lang", key.alias("digest")).join(F.broadcast(drawn), ["lang", "digest"]).dropDuplicates(["lang", "digest"])
     rows = chosen.select("text", "lang").mapInArrow(_counted, "lang string, buckets array<int>, counts array<int>")
     number = {k: i for i, k in enumerate(model.langs)}
     table = rows.toArrow()

@@ -55,12 +55,13 @@ def shingle_sets(texts: list[bytes | None], n: int = WORDS) -> Iterator[np.ndarr
         for i in range(len(held)):
             a, b = cut[i], cut[i + 1]
             if b - a >= n:
-                yield np.unique(run[a : b - n + 1])
+                own = np.sort(run[a : b - n + 1])
+                yield own[np.append(True, own[1:] != own[:-1])]
             elif b > a:  # fewer words than n: the whole sequence is one
-                whole = word[a]
+                whole = word[a : a + 1]
                 for k in range(1, b - a):
-                    whole = K.mix(np.uint64(whole) * np.uint64(0xD1342543DE82EF95) + word[a + k : a + k + 1] + np.uint64(k))[0]
-                yield K.mix(np.array([whole]) + np.uint64(b - a) * np.uint64(0xA0761D6478BD642F))
+                    whole = K.mix(whole * np.uint64(0xD1342543DE82EF95) + word[a + k : a + k + 1] + np.uint64(k))
+                yield K.mix(whole + np.array([b - a], np.uint64) * np.uint64(0xA0761D6478BD642F))
             else:
                 yield np.empty(0, np.uint64)
 

@@ -34,9 +34,9 @@ SIZE_STEP = 1.3
 def set_digest(hashes: np.ndarray) -> bytes:
     """128 bits of a set of 64-bit hashes; equal sets have equal ones."""
     size = np.uint64(len(hashes))
-    first = K.mix(hashes + np.uint64(7)).sum() + size
-    second = K.mix(hashes * np.uint64(0xD1342543DE82EF95) + np.uint64(0xA0761D6478BD642F)).sum() - size
-    return K.mix(np.array([first, second], np.uint64)).tobytes()
+    mixed = K.mix(hashes + np.uint64(7))
+    second = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD1342543DE82EF95)
+    return K.mix(np.array([mixed.sum() + size, (second ^ (second >> np.uint64(32))).sum() - size], np.uint64)).tobytes()
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -87,17 +87,18 @@ def likely(pairs: DataFrame, signed: DataFrame, close: Column) -> DataFrame:
     return both.filter(close).select("u", "v")
 
 
-def _blocks(rows: DataFrame, as_partner: bool) -> DataFrame:
+def _blocks(rows: DataFrame, as_partner: bool, by_size: bool = True) -> DataFrame:
     """rows with block: a class and its possible partners have one block in common, for each key and size class.
 
-    A class stands in one block of its key: its size class and one of the parts that a large key has. As a partner it
+    by_size false is for keys that sets of similar sizes alone have. A class stands in one block of its key: its size class and one of the parts that a large key has. As a partner it
     stands in the three size classes around its own, in every part.
     """
     size = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
+    size = size if by_size else F.lit(0)
     parts = F.ceil(F.col("held") / SPLIT).cast("int")
     if not as_partner:
         return rows.withColumn("block", F.struct("key", size.alias("size"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part")))
-    sizes = F.array(*[size + k for k in (-1, 0, 1)])
+    sizes = F.array(*[size + k for k in ((-1, 0, 1) if by_size else (0,))])
     return (
         rows.withColumn("_size", F.explode(sizes)).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
         .withColumn("block", F.struct("key", F.col("_size").alias("size"), F.col("_part").alias("part"))).drop("_size", "_part")
@@ -124,11 +125,23 @@ def across(open_: DataFrame, signed: DataFrame, sets: DataFrame, close: Column)
     )
 
 
-def components(shared: DataFrame, signed: DataFrame, close: Column, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+def likely_across(open_: DataFrame, signed: DataFrame, close: Column) -> DataFrame:
+    """u, v: members of one key in different components that pass the cheap test, each pair once.
+
+    For classes of hundreds of keys, whose sets or keys would be copied too often, with tests that few strangers pass and
+    keys that sets of similar sizes alone have.
+    """
+    rows = open_.select("key", "node", "root", "held").join(signed, "node")
+    meet = (F.col("x.block") == F.col("y.block")) & (F.col("x.root") < F.col("y.root")) & close
+    pairs = _blocks(rows, False, by_size=False).alias("x").join(_blocks(rows, True, by_size=False).alias("y"), meet)
+    return pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+
+
+def components(shared: DataFrame, signed: DataFrame, close: Column, sets_of: Callable[[DataFrame], DataFrame], many_keys: bool = False) -> DataFrame | None:
     """node, root of the classes that are linked with others and are not the least of their component; None: no two are linked.
 
     shared: key, node of the keys that several classes have; signed: node, size and what close looks at, as x and y;
-    sets_of: node, hashes of the nodes asked for. Stars first, from one centre and then from several, as they cost no
+    sets_of: node, hashes of the nodes asked for; many_keys: see likely_across(). Stars first, from one centre and then from several, as they cost no
     more than their rows; then every pair of members that are still in different components.
     """
     sets = roots = None
@@ -142,6 +155,8 @@ def components(shared: DataFrame, signed: DataFrame, close: Column, sets_of: Cal
         if centres:
             pairs = stash(likely(stash(stars(open_), "stars"), signed, close), "pairs")
             found = confirmed(pairs, sets)
+        elif many_keys:
+            found = confirmed(stash(likely_across(open_, signed, close), "pairs"), sets)
         else:
             found = across(open_, signed, sets, close)
         found = stash(found, "links")
@@ -154,9 +169,9 @@ def components(shared: DataFrame, signed: DataFrame, close: Column, sets_of: Cal
 
 def all_links(shared: DataFrame, signed: DataFrame, close: Column, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """u, v: every link between two classes; the result itself may be as large as the square of a group."""
-    alone = placed(shared, None)
-    open_ = stash(still_open(alone, 1), "members")
-    return across(open_, signed, stash(sets_of(open_.select("node").distinct()), "sets"), close)
+    open_ = stash(still_open(placed(shared, None), 1), "members")
+    pairs = stash(likely_across(open_, signed, close), "pairs")
+    return confirmed(pairs, stash(sets_of(open_.select("node").distinct()), "sets"))
 
 
 def report(documents: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:

@@ -64,7 +64,7 @@ def differing(one: int, two: int) -> int:
 class Scheme:
     """Parts, cells and their subsets for a tag whose sets differ in at most k shingles."""
 
-    def __init__(self, tag: int, k: int, _kept: dict = {}):  # noqa: B006
+    def __init__(self, tag: int, k: int):
         if k <= 2:
             self.k2, self.n2, self.spare = k, 6, 0
         elif k <= 24:
@@ -76,20 +76,28 @@ class Scheme:
         self.subsets = np.zeros((self.n2, len(chosen)), np.uint64)
         for j, cells in enumerate(chosen):
             self.subsets[list(cells), j] = 1
+        self.counts = self.subsets.astype(np.int64)
         names = np.arange(self.n1 * len(chosen), dtype=np.uint64).reshape(self.n1, -1)
         number = np.array([tag + 1], np.uint64)
         self.names = K.mix(names + number * np.uint64(0x9E3779B97F4A7C15))
         self.first = K.mix(number * np.uint64(0xA0761D6478BD642F))
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """The keys of a sorted set."""
-        cell = ((hashes >> np.uint64(32)) * np.uint64(self.n1 * self.n2)) >> np.uint64(32)
-        ends = np.searchsorted(cell, np.arange(self.n1 * self.n2 + 1, dtype=np.uint64))
-        upto = np.append(np.uint64(0), np.cumsum(K.mix(hashes + np.uint64(3)), dtype=np.uint64))
-        content = np.diff(upto[ends]).reshape(self.n1, self.n2) @ self.subsets
-        held = np.diff(ends).reshape(self.n1, self.n2) @ self.subsets.astype(np.int64)
+    def keys(self, hashes: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """The keys of a sorted set; upto: running sums over its shingles, by which cells are told apart."""
+        cells = self.n1 * self.n2
+        cell = ((hashes >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
+        held = np.bincount(cell.view(np.int64), minlength=cells)
+        ends = np.zeros(cells + 1, np.int64)
+        np.cumsum(held, out=ends[1:])
+        at = upto[ends]
+        content, held = (at[1:] - at[:-1]).reshape(self.n1, self.n2), held.reshape(self.n1, self.n2)
+        if self.n2 - self.k2 > 1:
+            content, held = content @ self.subsets, held @ self.counts
         full = held > 0
-        keys = K.mix(content + self.names)[full]
+        keys = K.mix(content + self.names)
+        if full.all():
+            return keys.ravel()
+        keys = keys[full]
         if (~full).any(axis=1).sum() > self.spare:
             size = len(hashes)
             keys = np.append(keys, K.mix(hashes[: size - -(-size * PER_CENT // 100) + 1] + self.first))
@@ -118,7 +126,9 @@ class Schemes:
             large = min(BANDS[below + 1][1], small * 100 // PER_CENT)
             if low * PER_CENT <= size * 100 and size <= large:
                 found.append(self._get(2 * below + 1, differing(small, large)))
-        return np.concatenate([np.empty(0, np.uint64), *(s.keys(hashes) for s in found if s is not None)])
+        upto = np.zeros(size + 1, np.uint64)
+        np.cumsum(K.mix(hashes + np.uint64(3)), out=upto[1:])
+        return np.concatenate([np.empty(0, np.uint64), *(s.keys(hashes, upto) for s in found if s is not None)])
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -217,5 +227,5 @@ def report(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
     signed, nodes, shared = signatures(docs, words)
     slim = docs.select("doc_id", "text")
-    roots = N.components(shared, nodes.select("node", "size", "sig"), _close(), lambda wanted: full_sets(wanted, nodes, slim, words))
+    roots = N.components(shared, nodes.select("node", "size", "sig"), _close(), lambda wanted: full_sets(wanted, nodes, slim, words), many_keys=True)
     return N.report(signed.select("doc_id", "n_shingles", "node"), nodes, roots).select("doc_id", "n_shingles", "component_id")

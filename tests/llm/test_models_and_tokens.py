@@ -190,7 +190,19 @@ def test_copies_crowd_out_no_language(spark):
     docs = documents(spark, texts, langs=langs)
     models = [langid.fit(d, sample=30) for d in (docs, docs.repartition(7))]
     assert models[0].langs == ["de", "en", "fr"] and (models[0].weights == models[1].weights).all()
-    got = langid.report(docs).filter("doc_id >= 3000").join(docs.select("doc_id", "lang"), "doc_id")
+    got = langid.report(docs).join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.filter("lang_pred <> lang").count() == 0
+
+
+def test_many_copies_of_few_texts_are_learned(spark):
+    """A language of 8,000 rows made of 5 texts beside one of many texts: every one of the 5 is in the sample."""
+    rng = random.Random(6)
+    few = [" ".join("".join(rng.choice("äöüßk") for _ in range(6)) for _ in range(20)) for _ in range(5)]
+    texts = [few[i % 5] for i in range(8000)] + [" ".join("".join(rng.choice("thweo") for _ in range(4)) for _ in range(15)) for _ in range(600)]
+    langs = ["de"] * 8000 + ["en"] * 600
+    docs = documents(spark, texts, langs=langs)
+    assert langid.fit(docs).langs == ["de", "en"]
+    got = langid.report(docs).join(docs.select("doc_id", "lang"), "doc_id")
     assert got.filter("lang_pred <> lang").count() == 0
 
 

@@ -1,9 +1,9 @@
 """Canonical pages: which page stands for which, in order of arrival.
 
-The order matters, so each app's pages are one ordered pass in a grouped map: a page is compared
-with its parent first, then with the best candidate by BM25 among the canonical pages so far. An
-app's pages are what one crawl collects; the order-free form for any size is the near-duplicate
-components of jaccard_pairs().
+offline() compares lines only and settles in rounds (containment.py). online() is one ordered pass over each app's pages in a
+grouped map: a page is compared with its parent first, then with the best candidate by BM25 among the canonical pages so
+far, whose number and mean length weigh every score, so each step needs all steps before it. An app's pages are what one crawl
+collects.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.containment import canonical_of
+
 #: Defaults: line-set similarity above which pages are the same, element difference below which images are.
 LINES_ABOVE, IMAGE_BELOW, CONTAINED_ABOVE = 0.5, 0.3, 0.9
 
@@ -95,28 +97,7 @@ def online(pages: DataFrame, app: str, limit: float = LINES_ABOVE, image_below:
 def offline(pages: DataFrame, app: str, above: float = CONTAINED_ABOVE, parity: bool = False) -> DataFrame:
     """app, page_id, unique_id: the first canonical page whose lines hold enough of the page's.
 
-    With parity it is the last such page, as where all are compared without stopping.
+    With parity it is the last such page, as where all are compared without stopping. Pages settle in rounds of joins (containment.py),
+    so an app of any size is spread over all tasks.
     """
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["seq", "page_id"], kind="stable")
-        held: dict[str, list[int]] = defaultdict(list)
-        canon, out = [], []
-        for page, lines in zip(rows["page_id"], rows["lines"]):
-            hits: Counter = Counter()
-            for line, n in Counter(lines).items():
-                for c in held[line]:
-                    hits[c] += n
-            fits = [c for c, n in hits.items() if n / len(lines) > above]
-            if fits:
-                out.append(canon[max(fits) if parity else min(fits)])
-                continue
-            for line in set(lines):
-                held[line].append(len(canon))
-            canon.append(page)
-            out.append(page)
-        return pd.DataFrame({"app": rows["app"], "page_id": rows["page_id"], "unique_id": out})
-
-    slim = pages.select(F.col(app).alias("app"), "page_id", "seq", _known("lines"))
-    kind = dict(slim.dtypes)
-    return slim.groupBy("app").applyInPandas(place, f"app {kind['app']}, page_id {kind['page_id']}, unique_id {kind['page_id']}")
+    return canonical_of(pages, app, above, parity)[0]

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, tag: str) -> str:
     """A path in the shared folder that nothing else uses."""
     return f"{shared_dir(spark)}/scratch/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read back: its plan ends there, and a lost executor costs its tasks only."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -116,3 +116,51 @@ def test_catalogues_and_images(spark):
     gif = b"GIF89a" + (300).to_bytes(2, "little") + (2).to_bytes(2, "little")
     got = spark.createDataFrame([(png,), (gif,), (b"xx",), (None,)], "c binary").select(files.image_size(F.col("c")).alias("s")).collect()
     assert [tuple(r.s) if r.s else None for r in got] == [(640, 70000), (300, 2), None, None]
+
+
+def plain_offline(pages, above, last):
+    """The ordered pass over one app's pages: page, lines."""
+    out, canon, lines_of = {}, [], dict(pages)
+    for i, lines in pages:
+        fits = [c for c in canon if lines and sum(x in set(lines_of[c]) for x in lines) / len(lines) > above]
+        out[i] = (fits[-1] if last else fits[0]) if fits else i
+        canon += [] if fits else [i]
+    return out
+
+
+def test_pages_settled_in_rounds_equal_the_ordered_pass(spark, monkeypatch):
+    import random
+
+    from corpusloom.operators import containment
+
+    rng = random.Random(12)
+    rows, want = [], {False: {}, True: {}}
+    for app in ("a", "b", None):
+        pages = []
+        for i in range(70):
+            lines = [f"l{rng.randrange(25)}" for _ in range(rng.randrange(0, 14))]
+            if pages and rng.random() < 0.6:
+                lines = list(rng.choice(pages)[1])
+                lines = lines if rng.random() < 0.5 else lines + [f"l{rng.randrange(40)}" for _ in range(rng.randrange(3))]
+                rng.shuffle(lines)
+            pages.append((i, lines))
+        rows += [(app, i, i // 3, lines) for i, lines in pages]
+        for last in want:
+            want[last] |= {(app, i): u for i, u in plain_offline(pages, 0.7, last).items()}
+    df = spark.createDataFrame(rows, "app string, page_id long, seq long, lines array<string>").repartition(5)
+    for hot in (1000, 2):
+        monkeypatch.setattr(containment, "HOT", hot)
+        for last in want:
+            got, rounds = containment.canonical_of(df, "app", 0.7, last)
+            assert {(r.app, r.page_id): r.unique_id for r in got.collect()} == want[last]
+            assert 1 < rounds < 12
+    assert canonical.offline(df.filter("false"), "app").count() == 0
+
+
+def test_pages_that_hold_all_later_ones(spark):
+    from corpusloom.operators.containment import canonical_of
+
+    pages = [(i, [f"x{k}" for k in range(i, 60)]) for i in range(12)]
+    rows = [("a", i, i, lines) for i, lines in pages]
+    got, _ = canonical_of(spark.createDataFrame(rows, "app string, page_id long, seq long, lines array<string>"), "app", 0.9)
+    assert {r.page_id: r.unique_id for r in got.collect()} == plain_offline(pages, 0.9, False) == {i: 0 for i in range(12)}

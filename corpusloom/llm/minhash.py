@@ -117,8 +117,8 @@ def _signed(words: int):
 def _sets(words: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = list(shingle_sets(K.column_bytes(batch, "text"), words))
-            ids = pa.array([set_digest(s) for s in made], pa.binary())
+            by_node = {set_digest(s): s for s in shingle_sets(K.column_bytes(batch, "text"), words)}
+            ids, made = pa.array(list(by_node), pa.binary()), list(by_node.values())
             yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], ["node", "hashes"])
 
     return sets

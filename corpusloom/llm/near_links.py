@@ -49,8 +49,24 @@ def similar_sizes(x: Column, y: Column) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * PER_CENT
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+class Sets:
+    """Full sets of classes, made when pairs first ask for them: sets_of gives node, hashes of a table of nodes."""
+
+    def __init__(self, sets_of: Callable[[DataFrame], DataFrame]):
+        self.sets_of, self.held = sets_of, None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        wanted = stash(wanted.select("node").distinct(), "wanted")
+        new = wanted if self.held is None else stash(wanted.join(self.held.select("node"), "node", "left_anti"), "wanted")
+        if self.held is None or not new.isEmpty():
+            made = stash(self.sets_of(new), "sets")
+            self.held = made if self.held is None else self.held.unionByName(made)
+        return self.held.join(wanted, "node", "left_semi")
+
+
+def confirmed(pairs: DataFrame, made: Sets) -> DataFrame:
     """The pairs u, v whose full sets are linked."""
+    sets = made.of(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
     first = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
     both = copied_join(pairs, first, sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
     return both.filter(similar(F.col("a"), F.col("b"))).select("u", "v")
@@ -105,7 +121,7 @@ def _blocks(rows: DataFrame, as_partner: bool, by_size: bool = True) -> DataFram
     )
 
 
-def across(open_: DataFrame, signed: DataFrame, sets: DataFrame, close: Column) -> DataFrame:
+def across(open_: DataFrame, signed: DataFrame, made: Sets, close: Column) -> DataFrame:
     """The links u, v between members of one key in different components.
 
     Rows without a likely partner leave first, by a semi-join; the others carry their full sets into
@@ -116,8 +132,8 @@ def across(open_: DataFrame, signed: DataFrame, sets: DataFrame, close: Column)
     rows = stash(open_.select("key", "node", "root", "held").join(signed, "node").join(keys, "node"), "mixed")
     once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
     meet = (F.col("x.block") == F.col("y.block")) & (F.col("x.root") != F.col("y.root")) & close & once
-    some = _blocks(rows, False).alias("x").join(_blocks(rows, True).alias("y"), meet, "left_semi").drop("block")
-    full = stash(some.join(sets, "node"), "likely")
+    some = stash(_blocks(rows, False).alias("x").join(_blocks(rows, True).alias("y"), meet, "left_semi").drop("block"), "some")
+    full = stash(some.join(made.of(some), "node"), "likely")
     return (
         _blocks(full, False).alias("x")
         .join(_blocks(full, True).alias("y"), meet & (F.col("x.root") < F.col("y.root")) & similar(F.col("x.hashes"), F.col("y.hashes")))
@@ -144,14 +160,12 @@ def components(shared: DataFrame, signed: DataFrame, close: Column, sets_of: Cal
     sets_of: node, hashes of the nodes asked for; many_keys: see likely_across(). Stars first, from one centre and then from several, as they cost no
     more than their rows; then every pair of members that are still in different components.
     """
-    sets = roots = None
+    sets, roots = Sets(sets_of), None
     for centres in (1, CENTRES, 0):
         members = placed(shared, roots)
         open_ = stash(still_open(members, max(centres, 1)), "members")
         if open_.isEmpty():
             break
-        if sets is None:
-            sets = stash(sets_of(open_.select("node").distinct()), "sets")
         if centres:
             pairs = stash(likely(stash(stars(open_), "stars"), signed, close), "pairs")
             found = confirmed(pairs, sets)
@@ -171,7 +185,7 @@ def all_links(shared: DataFrame, signed: DataFrame, close: Column, sets_of: Call
     """u, v: every link between two classes; the result itself may be as large as the square of a group."""
     open_ = stash(still_open(placed(shared, None), 1), "members")
     pairs = stash(likely_across(open_, signed, close), "pairs")
-    return confirmed(pairs, stash(sets_of(open_.select("node").distinct()), "sets"))
+    return confirmed(pairs, Sets(sets_of))
 
 
 def report(documents: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:

@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
+
+from corpusloom.functions.bpe import ByteLevel
+from corpusloom.operators.graph import folder, parent_name, segments
+from corpusloom.storage import written
 
 #: Least sizes of a screenshot, of a page and of its file.
 LEAST_IMAGE, LEAST_PAGE, LEAST_FILE = 1024, 200, 512
@@ -103,33 +108,53 @@ def byte_ids(text: Column) -> Column:
 
 
 def chat_ids(
-    talks: DataFrame, key: str, max_len: int, encode: Callable[[Column], Column] = byte_ids, start: int = 256, end: int = 257, pad: int = 258, system: str = "You are a helpful assistant."
+    talks: DataFrame, key: str, max_len: int | None, literal: Callable[[str], Column] = lambda s: byte_ids(F.lit(s)),
+    of_turn: Callable[[Column, str], Column] = lambda t, field: byte_ids(t[field]), start: int = 256, end: int = 257, pad: int = 258,
+    system: str = "You are a helpful assistant.",
 ) -> DataFrame:
     """key, input_ids, labels, attention_mask: chat_rows() in token ids, IGNORE where training does not look.
 
-    encode gives a text's ids; start and end are the marks around a turn, pad fills up. The newline is a token of the text's own.
-    """
+    literal gives the ids of the format's own texts, of_turn those of a turn's role (from) and text (value); bytes by default. start
+    and end are the marks around a turn, pad fills up. The newline is a token of the text's own. Without max_len rows are
+    neither cut nor filled up.
+    """
     one = lambda v: F.array(F.lit(v))
-    line = encode(F.lit("\n"))
+    line = literal("\n")
     skip = lambda n: F.array_repeat(F.lit(IGNORE), n)
     close = F.concat(one(end), line)
-    head = F.concat(one(start), encode(F.lit("system")), line, encode(F.lit(system)))
+    head = F.concat(one(start), literal("system"), line, literal(system))
     turns = F.when(F.element_at(F.col("conversations"), 1)["from"] != "user", F.slice("conversations", F.lit(2), F.size("conversations"))).otherwise(F.col("conversations"))
     turns = F.filter(turns, lambda t: t["from"].isin("user", "assistant"))
-    role = lambda t: F.concat(one(start), encode(t["from"]), line)
-    asked = lambda t: F.concat(one(start), skip(F.size(role(t)) + F.size(encode(t["value"])) - 1), close)
-    told = lambda t: F.concat(one(start), skip(F.size(role(t)) - 1), encode(t["value"]), close)
+    role = lambda t: F.concat(one(start), of_turn(t, "from"), line)
+    asked = lambda t: F.concat(one(start), skip(F.size(role(t)) + F.size(of_turn(t, "value")) - 1), close)
+    told = lambda t: F.concat(one(start), skip(F.size(role(t)) - 1), of_turn(t, "value"), close)
     made = talks.select(
         key,
-        F.concat(head, close, F.flatten(F.transform(turns, lambda t: F.concat(role(t), encode(t["value"]), close)))).alias("i"),
+        F.concat(head, close, F.flatten(F.transform(turns, lambda t: F.concat(role(t), of_turn(t, "value"), close)))).alias("i"),
         F.concat(one(start), skip(F.size(head) - 1), close, F.flatten(F.transform(turns, lambda t: F.when(t["from"] == "user", asked(t)).otherwise(told(t))))).alias("l"),
     )
-    room = F.greatest(F.lit(max_len) - F.size("i"), F.lit(0))
-    full = lambda c, fill: F.slice(F.concat(c, F.array_repeat(F.lit(fill), room)), 1, max_len)
+    if max_len is None:
+        full = lambda c, fill: c
+    else:
+        room = F.greatest(F.lit(max_len) - F.size("i"), F.lit(0))
+        full = lambda c, fill: F.slice(F.concat(c, F.array_repeat(F.lit(fill), room)), 1, max_len)
     rows = made.select(key, full(F.col("i"), pad).alias("input_ids"), full(F.col("l"), IGNORE).alias("labels"))
     return rows.withColumn("attention_mask", F.transform("input_ids", lambda t: t != pad))
 
 
+def chat_token_ids(turns: DataFrame, key: str, turn: str, role: str, text: str, max_len: int | None, vocabulary: ByteLevel, system: str = "You are a helpful assistant.") -> DataFrame:
+    """chat_ids() over a byte-level vocabulary. The marks around turns and the filling are the three ids after its last.
+
+    Roles and texts are encoded row by row before turns are put together. Null roles and texts have no tokens.
+    """
+    encoded = turns.select(key, turn, role, text, vocabulary.ids(F.col(role)).alias("_role"), vocabulary.ids(F.col(text)).alias("_text"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("from"), F.col(text).alias("value"), F.col("_role").alias("from_ids"), F.col("_text").alias("value_ids"))))
+    talks = encoded.groupBy(key).agg(ordered.alias("conversations"))
+    marks = [len(vocabulary.bytes) + k for k in range(3)]
+    none = F.array().cast("array<int>")
+    return chat_ids(talks, key, max_len, lambda s: F.array(*map(F.lit, vocabulary.encode(s))), lambda t, field: F.coalesce(t[f"{field}_ids"], none), *marks, system)
+
+
 #: Instructions by task; those of a page's actions, description and next step stand on a line of their own.
 POOLS = {
     "structure": ["List the texts on this page with their boxes.", "Write down each text and where it is.", "Read this page and give every text's place."],
@@ -165,15 +190,48 @@ def picked(pool: list[str], seed: str, *keys: str) -> Column:
     return F.element_at(F.array(*map(F.lit, pool)), (F.pmod(at, F.lit(len(pool))) + 1).cast("int"))
 
 
+def pair_instructions(pages: DataFrame, seed: str = "next") -> DataFrame:
+    """parent, child, folder, instruction, action: a question for each page and the page that it was reached from, and the step between.
+
+    pages(name): paths of segments, of which the last is the step; pages whose parent is not among them have no question. The
+    folder is that of the child in the level layout.
+    """
+    name = F.col("name")
+    known = pages.select("name").distinct()
+    kids = known.filter(F.size(segments(name)) > 1).select(name.alias("child"), parent_name(name).alias("parent"), folder(name).alias("folder"), F.element_at(segments(name), -1).alias("action"))
+    met = kids.join(known.withColumnRenamed("name", "parent"), "parent", "left_semi")
+    return met.select("parent", "child", "folder", task_instruction("next", seed, "child").alias("instruction"), "action")
+
+
 def filled(template: Column, text: Column) -> Column:
     """The template with {text} filled in."""
     return F.replace(template, F.lit("{text}"), text)
 
 
-def running_mean(rows: DataFrame, value: str, seq: str, group: str) -> DataFrame:
-    """rows with running: the mean of the value up to each row, in order, within a group."""
-    w = Window.partitionBy(group).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.avg(value).over(w))
+def running_mean(rows: DataFrame, value: str, seq: str | list[str], group: str) -> DataFrame:
+    """rows with running: the mean of the value up to each row, in order, within a group. Decimals are summed exactly.
+
+    Two levels: rows are dealt out in ranges of (group, seq), so a group of any size is on many tasks, and summed there; only
+    the first group of a range can go on from ranges before it, so one row a range, with what its first group has had
+    before, goes to all tasks.
+    """
+    order = [seq] if isinstance(seq, str) else list(seq)
+    kind = rows.schema[value].dataType
+    summed = F.col(value) if isinstance(kind, DecimalType) else F.col(value).cast("double")
+    ranged = written(rows.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_sum", F.sum(summed).over(own)).withColumn("_n", F.count(value).over(own))
+    g = F.struct(F.col(group).alias("v")).alias("_g")  # in a struct null equals null, and comes first as in the ranges
+    totals = ranged.groupBy("_range", g).agg(F.sum(summed).alias("_s"), F.count(value).alias("_c"))
+    ends = totals.groupBy("_range").agg(F.min(F.struct("_g", "_s", "_c")).alias("lo"), F.max(F.struct("_g", "_s", "_c")).alias("hi"))
+    both = ends.select("_range", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("e")).select("_range", "e.*")
+    before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    had = both.select("_range", "_g", F.sum("_s").over(before).alias("_s0"), F.sum("_c").over(before).alias("_c0")).filter("_c0 is not null")
+    met = local.withColumn("_g", g).join(F.broadcast(had), ["_range", "_g"], "left")
+    # An empty sum is null, and so is the mean of no values.
+    whole = F.when(F.col("_sum").isNull(), F.col("_s0")).when(F.col("_s0").isNull(), F.col("_sum")).otherwise(F.col("_sum") + F.col("_s0"))
+    n = F.col("_n") + F.coalesce("_c0", F.lit(0))
+    return met.withColumn("running", F.when(n > 0, whole / n)).select(*rows.columns, "running")
 
 
 def totals_over(catalogue: DataFrame, rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.storage import written
+
 
 def first_seen_ids(log: DataFrame, key: str, seq: str) -> DataFrame:
     """key, first_seq, id: dense ids from 0 in the order in which keys first appear.
@@ -36,6 +38,39 @@ def cumulative_paths(log: DataFrame, who: str, step: str, seq: str, most: int |
     return early.select(who, seq, name.alias("name"))
 
 
+def path_nodes(log: DataFrame, who: str, step: str, seq: str) -> DataFrame:
+    """who, seq, node, parent, steps, first: the path after every step as a node of a trie, without its text.
+
+    node is 128 bits of the walker and of two running sums over hashes of (place, step), so a row costs the same however
+    long its walk is; equal paths of a walker have one node. parent is the node of the step before, null at the first; steps counts the
+    segments after the walker's own; first is the first step.
+    """
+    w = Window.partitionBy(who).orderBy(seq)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    placed = log.select(who, seq, F.col(step).alias("_step"), F.row_number().over(w).alias("_k"))
+    hashed = lambda salt: F.sum(F.xxhash64(F.lit(salt), "_k", "_step").cast("decimal(20,0)")).over(upto).cast("string")
+    node = F.md5(F.concat_ws("|", F.col(who).cast("string"), F.col("_k").cast("string"), hashed("one"), hashed("two")).cast("binary"))
+    steps = F.sum(F.size(F.split("_step", "_")).cast("long")).over(upto)
+    named = placed.select(who, seq, node.alias("node"), steps.alias("steps"), F.first("_step").over(upto).alias("first"))
+    return named.withColumn("parent", F.lag("node").over(w)).select(who, seq, "node", "parent", "steps", "first")
+
+
+def held_by_ancestor(nodes: DataFrame, holds: DataFrame) -> DataFrame:
+    """nodes(node, parent, depth, page_id) with hold: some hold(node, since) is the node or above it, from its page on.
+
+    The least `since` above each node comes by pointer doubling: every round a node takes over what the node it points to
+    has found and points to where that one pointed, so the rounds are the logarithm of the depth and a row stays of one size.
+    """
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    earliest = holds.groupBy("node").agg(F.min("since").alias("since"))
+    now = written(nodes.join(earliest, "node", "left").select("node", F.col("parent").alias("up"), "since"), "doubling")
+    for _ in range(int(deepest).bit_length()):
+        above = now.select(F.col("node").alias("up"), F.col("since").alias("_since"), F.col("up").alias("_up"))
+        now = written(now.join(above, "up", "left").select("node", F.col("_up").alias("up"), F.least("since", "_since").alias("since")), "doubling")
+    found = nodes.join(now.select("node", "since"), "node")
+    return found.withColumn("hold", F.coalesce(F.col("page_id") >= F.col("since"), F.lit(False))).drop("since")
+
+
 def segments(name: Column) -> Column:
     return F.split(name, "_")
 

@@ -74,10 +74,16 @@ def _from_xml(source: str) -> dict | None:
         return {
             "type": e.tag, "text": get("text"), "content_desc": get("content-desc"), "resource_id": get("resource-id"),
             "package": get("package"), "class_label": get("class"), "clickable": get("clickable"), "scrollable": get("scrollable"),
-            "displayed": get("displayed"), "bounds": get("bounds"), "kids": [made(k) for k in e],
+            "displayed": get("displayed"), "bounds": get("bounds"), "kids": [],
         }
 
-    return made(root)
+    top = made(root)
+    left = [(root, top)]
+    while left:  # by a list of what is left, as pages may be nested deeper than calls
+        e, node = left.pop()
+        node["kids"] = [made(k) for k in e]
+        left += zip(e, node["kids"])
+    return top
 
 
 def node_rows(source: str | None, soup: bool = False) -> list[tuple]:
@@ -206,6 +212,16 @@ def nested_dump(source: str | None) -> str | None:
     return text
 
 
+def nested_dumps(pages: DataFrame, key: str, source: str) -> DataFrame:
+    """key, dump: nested_dump() of each page; null where a page cannot be parsed."""
+
+    @F.pandas_udf("string")
+    def dumped(sources: pd.Series) -> pd.Series:
+        return sources.map(nested_dump)
+
+    return pages.select(key, dumped(F.col(source)).alias("dump"))
+
+
 def tree_metrics(nodes: DataFrame, key: str) -> DataFrame:
     """key, n_nodes, n_leaves, max_depth (the root has depth 1)."""
     return nodes.groupBy(key).agg(F.count("*").alias("n_nodes"), F.sum(F.col("is_leaf").cast("long")).alias("n_leaves"), F.max("depth").alias("max_depth"))

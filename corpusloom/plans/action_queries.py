@@ -269,6 +269,19 @@ def task_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*each)).alias("t")).select("p_partkey", "t.*")
 
 
+@query(f"""
+with p as (select distinct 'app' || user_id || '0_' || string_agg(event_type, '_') over (partition by user_id order by event_id) as name from events),
+k as (select name as child, regexp_extract(name, '^(.*)_[^_]*$', 1) as parent, array_to_string(string_split(name, '_')[:-2], '/') as folder, regexp_extract(name, '([^_]*)$', 1) as action from p)
+select parent, child, folder, {_pool_sql("next", "child")} as instruction, action from k where parent in (select name from p)
+""")
+def pair_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions on pages and the pages they were reached from, written as JSON and read back."""
+    pages = graph.cumulative_paths(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+    rows = corpus.pair_instructions(pages)
+    files.write_json(rows, path := scratch(spark, "pairs"))
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query(f"""
 with {_LINES}, {_LABELS}, one as (select page, label, box from labels where label is not null qualify row_number() over (partition by page order by md5('locate|' || page || '|' || line), line) = 1)
 select page, replace({_pool_sql("locate", "page")}, '{{text}}', label) as question, '<ref>' || label || '</ref><box>' || box || '</box>' as answer from one

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import bpe
 from corpusloom.operators import corpus, graph
 from corpusloom.plans.catalog import query, spread, table
 from corpusloom.sources.files import decoded_twice, encoded_twice
@@ -143,6 +144,31 @@ def chatml_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chat(spark, sf_dir)
 
 
+#: The public byte-level vocabulary of the queries on token ids.
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("select doc_id, octet_length(encode(text)) as n_bytes, md5(text) as text_md5 from documents")
+def vocabulary_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_LEVEL) -> DataFrame:
+    """Whole documents in token ids and back: the bytes of their ids, and the text that these make."""
+    known = bpe.read(vocabulary)
+    rows = spread(_docs(spark, sf_dir)).select("doc_id", known.ids(F.col("text")).alias("ids"))
+    text = known.text_of(F.col("ids"))
+    return rows.select("doc_id", text.alias("text")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"""
+with t as (select conv_id, string_agg(case when role in ('user', 'assistant') then role || chr(10) || coalesce(text, '') || chr(10) end, '' order by turn, role, text) as said,
+  string_agg(case when role = 'assistant' then coalesce(text, '') || chr(10) when role = 'user' then chr(10) end, '' order by turn, role, text) as learned from conversations group by conv_id)
+select conv_id, 'system' || chr(10) || 'You are a helpful assistant.' || chr(10) || coalesce(said, '') as said, chr(10) || coalesce(learned, '') as learned from t
+""")
+def chatml_vocabulary(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_LEVEL) -> DataFrame:
+    """Training rows in ids of a vocabulary, neither cut nor filled up, read back: all that is said, and what is learned from."""
+    known = bpe.read(vocabulary)
+    rows = corpus.chat_token_ids(spread(table(spark, sf_dir, "conversations")), "conv_id", "turn", "role", "text", None, known)
+    return rows.select("conv_id", known.text_of(F.col("input_ids")).alias("said"), known.text_of(F.col("labels")).alias("learned"))
+
+
 @query("""
 select role, count(*) as turns, cast(sum(length(text)) as bigint) as chars, round(sum(length(text)) / 1000.0 * case role when 'assistant' then 0.06 else 0.03 end, 6) as cost
 from conversations group by role
@@ -202,9 +228,9 @@ select l_shipdate, l_orderkey, l_linenumber, round(avg(l_quantity) over (partiti
 from lineitem
 """)
 def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
-    return items.select("l_shipdate", "l_orderkey", "l_linenumber", F.round(F.avg("l_quantity").over(w), 6).alias("running"))
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    means = corpus.running_mean(items, "l_quantity", ["l_shipdate", "l_orderkey", "l_linenumber"], "l_suppkey")
+    return means.select("l_shipdate", "l_orderkey", "l_linenumber", F.round("running", 6).alias("running"))
 
 
 @query("select l_orderkey, l_returnflag, l_linenumber from lineitem qualify count(*) over (partition by l_orderkey, l_returnflag) = 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import graph
 from corpusloom.plans.catalog import query, table
-from corpusloom.storage import scratch
+from corpusloom.storage import scratch, written
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cumulative_paths(_events(spark, sf_dir), "user_id", "event_type", "event_id")
 
 
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.path_nodes(_events(spark, sf_dir), "user_id", "event_type", "event_id")
+
+
 _PATHS = """
 paths as (
   select user_id, event_id, 'app' || user_id || '0_' || string_agg(event_type, '_') over (partition by user_id order by event_id) as name from events
@@ -81,12 +85,13 @@ def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_PATHS} select array_to_string(string_split(name, '_')[:2], '_') as prefix, count(*) as pages from paths group by all")
 def prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(spark, sf_dir).groupBy(F.concat_ws("_", F.slice(graph.segments(F.col("name")), 1, 2)).alias("prefix")).agg(F.count("*").alias("pages"))
+    first = F.concat(F.lit("app"), F.col("user_id").cast("string"), F.lit("0_"), F.element_at(F.split("first", "_"), 1))
+    return _nodes(spark, sf_dir).groupBy(first.alias("prefix")).agg(F.count("*").alias("pages"))
 
 
 @query(f"with {_PATHS} select count(*) as pages, cast(sum(len(string_split(name, '_')) - 1) as bigint) as steps from paths")
 def depth_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(spark, sf_dir).agg(F.count("*").alias("pages"), F.sum(F.size(graph.segments(F.col("name"))) - 1).alias("steps"))
+    return _nodes(spark, sf_dir).agg(F.count("*").alias("pages"), F.sum("steps").alias("steps"))
 
 
 @query(f"""
@@ -185,9 +190,12 @@ select p.page_id, p.name, exists (select 1 from holds h where p.page_id >= h.sin
 from pages p
 """)
 def flag_hold_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _paths(spark, sf_dir).groupBy("name").agg(F.min("event_id").alias("page_id"))
-    holds = pages.filter("page_id % 5 = 0").select(F.col("name").alias("prefix"), F.col("page_id").alias("since"))
-    return graph.held_by_prefix(pages, holds).select("page_id", "name", "hold")
+    """Pages that a hold on a page before them reaches, over the trie of paths; names are put to the pages at the end only."""
+    pages = _nodes(spark, sf_dir).groupBy("node").agg(F.min("event_id").alias("page_id"), F.first("parent").alias("parent"), F.first("steps").alias("depth"))
+    pages = written(pages, "pages")
+    held = graph.held_by_ancestor(pages, pages.filter("page_id % 5 = 0").select("node", F.col("page_id").alias("since")))
+    names = _paths(spark, sf_dir).select(F.col("event_id").alias("page_id"), "name")
+    return held.join(names, "page_id").select("page_id", "name", "hold")
 
 
 @query("""
@@ -236,10 +244,10 @@ with p as (select user_id, event_id, lag(event_type) over (partition by user_id
 select src, dst, count(*) as steps, min(event_id) as first_seq from p where src is not null group by src, dst
 """)
 def stream_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges kept up by a stream: steps between consecutive nodes of a walker, across batches too."""
-    from corpusloom.streaming.upsert import upkeep, walks_of_batches
+    """Edges kept up by a stream with a state for each walker: steps between consecutive nodes, late ones put right."""
+    from corpusloom.streaming.steps import edges_of, keep_steps
 
-    return upkeep(_event_stream(spark, sf_dir), scratch(spark, "stream"), walks_of_batches)["edges"].select("src", "dst", "steps", "first_seq")
+    return edges_of(keep_steps(_event_stream(spark, sf_dir), scratch(spark, "stream")))
 
 
 @query("select user_id, event_type as node, arg_max(event_id, event_id) as last_seq, arg_max(value, event_id) as flag from events group by all")

@@ -124,8 +124,28 @@ def canonical_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.online(_pages(spark, sf_dir), "source")
 
 
-@query()
+@query(f"""
+with recursive d as (
+  select source, doc_id, row_number() over (partition by source order by doc_id) as k, {_LINES} as lines from documents
+), t as (select source, k, len(lines) as total, unnest(lines) as line from d),
+n as (select source, k, total, line, count(*) as n from t group by all),
+held as (
+  select x.source, x.k as a, y.k as b from n x join n y on x.source is not distinct from y.source and x.line = y.line and y.k < x.k
+  group by x.source, x.k, x.total, y.k having sum(x.n) / x.total > 0.9
+), by_page as (select source, a, list(b) as bs from held group by source, a),
+walk(source, k, canon, pick) as (
+  select distinct source, 0::bigint, []::bigint[], 0::bigint from d
+  union all
+  select source, k, case when hit is null then list_append(canon, k) else canon end, coalesce(hit, k) from (
+    select w.source, d.k, w.canon, list_min(list_intersect(p.bs, w.canon)) as hit
+    from walk w join d on d.source is not distinct from w.source and d.k = w.k + 1 left join by_page p on p.source is not distinct from d.source and p.a = d.k
+  )
+)
+select w.source as app, d.doc_id as page_id, c.doc_id as unique_id
+from walk w join d on d.source is not distinct from w.source and d.k = w.k join d c on c.source is not distinct from w.source and c.k = w.pick
+""")
 def canonical_pages_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page and the first canonical page of its app that holds nine tenths of its lines."""
     return canonical.offline(_pages(spark, sf_dir), "source")
 
 

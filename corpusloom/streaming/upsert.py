@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,54 +45,87 @@ def upkeep(source: DataFrame, path: str, batches: Callable[[str], Callable[[Data
 
 #: The tables that a crawl's log keeps up.
 TABLES = ("visits", "pages", "edges", "frontier", "canonical", "walkers")
-#: Parts of an upserted table by hash of the key; a batch rewrites those only that it touches.
-BUCKETS = 32
+#: Runs of one level that are merged into one of the next.
+FAN = 4
 
 
-def _manifest(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
-    """The batch that wrote each bucket last."""
-    newest = _last_version(spark, path, below)
-    return {r.bucket: r.version for r in newest.collect()} if newest is not None else {}  # a row per bucket
+def _merged(merge: dict[str, str]) -> list[Column]:
+    """Aggregates by name: sum, min, max, or last:<column>, the value where that column is highest."""
+    out = []
+    for name, how in merge.items():
+        kind, _, order = how.partition(":")
+        out.append((F.max_by(name, order) if kind == "last" else getattr(F, kind)(name)).alias(name))
+    return out
 
 
-def _buckets(spark: SparkSession, path: str, versions: dict[int, int]) -> DataFrame | None:
-    files = [f"{path}/data/version={v}/_bucket={b}" for b, v in sorted(versions.items())]
-    return spark.read.parquet(*files) if files else None
+def _fs(spark: SparkSession, path: str):
+    """A folder as the cluster's file system knows it, and that file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame | None:
-    """An upserted table as its last whole batch left it."""
-    return _buckets(spark, path, _manifest(spark, path))
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """The batches whose manifest is there, ascending; old ones are removed, so they are few."""
+    root, fs = _fs(spark, f"{path}/manifest")
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and fs.exists(_fs(spark, f"{path}/manifest/{n}/_SUCCESS")[0]))
 
 
-def merge_rows(path: str, batch_id: int, rows: DataFrame, keys: list[str], merged: list[Column]) -> None:
-    """Merges rows into the table at path: old and new rows of a key are aggregated by `merged`.
+def _manifest(spark: SparkSession, path: str, below: int | None = None) -> dict | None:
+    """keys, merge and runs (name, level) of an upserted table as its last batch left it, or the last one below a batch."""
+    done = [b for b in _batches(spark, path) if below is None or b < below]
+    return json.loads(spark.read.text(f"{path}/manifest/batch={done[-1]}").first()[0]) if done else None
 
-    Only buckets that hold a key of the batch are read and written anew; the manifest is written last, so
-    a reader or a restarted query sees whole batches only, and a batch that runs again writes the same.
+
+def _merged_runs(spark: SparkSession, path: str, known: dict, runs: list[str]) -> DataFrame:
+    rows = spark.read.parquet(*[f"{path}/data/{r}" for r in runs])
+    return rows.groupBy(*known["keys"]).agg(*_merged(known["merge"]))
+
+
+def latest(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
+    """An upserted table as its last whole batch left it, or the last one below a batch."""
+    known = _manifest(spark, path, below)
+    return _merged_runs(spark, path, known, [name for name, _ in known["runs"]]) if known else None
+
+
+def merge_rows(path: str, batch_id: int, rows: DataFrame, keys: list[str], merge: dict[str, str]) -> None:
+    """Merges rows into the table at path: old and new rows of a key are aggregated as `merge` says.
+
+    A batch writes a run of its own keys only. FAN runs of a level become one of the next, so a row is written anew as often as
+    the logarithm of the table's size, and a reader merges FAN runs a level at most. The manifest is written last: a reader
+    or a restarted query sees whole batches only, and a batch that runs again writes the same. Runs that neither this
+    manifest nor the one before names are deleted.
     """
     spark = rows.sparkSession
-    new = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).persist()
-    touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # BUCKETS at most
-    versions = _manifest(spark, path, below=batch_id)
-    old = _buckets(spark, path, {b: v for b, v in versions.items() if b in touched})
-    if old is not None:
-        new_and_old = new.unionByName(old.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")))
-    else:
-        new_and_old = new
-    new_and_old.groupBy("_bucket", *keys).agg(*merged).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/version={batch_id}")
-    new.unpersist()
-    now = versions | {b: batch_id for b in touched}
-    spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-    spark.range(1).select(F.lit(batch_id).cast("long").alias("version")).write.mode("overwrite").parquet(f"{path}/_latest_{batch_id}")
+    before = _manifest(spark, path, below=batch_id)
+    known = {"keys": keys, "merge": merge, "runs": [tuple(r) for r in before["runs"]] if before else []}
+    rows.groupBy(*keys).agg(*_merged(merge)).write.mode("overwrite").parquet(f"{path}/data/batch-{batch_id}-0")
+    known["runs"].append((f"batch-{batch_id}-0", 0))
+    level = 0
+    while len(full := [name for name, at in known["runs"] if at == level]) >= FAN:
+        name = f"batch-{batch_id}-{level + 1}"
+        _merged_runs(spark, path, known, full).write.mode("overwrite").parquet(f"{path}/data/{name}")
+        known["runs"] = [r for r in known["runs"] if r[0] not in full] + [(name, level + 1)]
+        level += 1
+    spark.range(1).select(F.lit(json.dumps(known)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/manifest/batch={batch_id}")
+    _vacuum(spark, path, batch_id, {r[0] for r in known["runs"]} | {r[0] for r in (before["runs"] if before else [])})
+
+
+def _vacuum(spark: SparkSession, path: str, batch_id: int, needed: set[str]) -> None:
+    """Removes the runs that are not needed, and the manifests before the last two up to a batch."""
+    root, fs = _fs(spark, f"{path}/data")
+    for name in [s.getPath().getName() for s in fs.listStatus(root)]:
+        if name not in needed:
+            fs.delete(_fs(spark, f"{path}/data/{name}")[0], True)
+    for b in [b for b in _batches(spark, path) if b < batch_id][:-1]:
+        fs.delete(_fs(spark, f"{path}/manifest/batch={b}")[0], True)
 
 
 def visits_of_batches(path: str, who: str = "user_id", node: str = "event_type", ts: str = "ts") -> Callable[[DataFrame, int], None]:
     """A batch function that keeps up the table of visits()."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merged = [F.sum("visits").alias("visits"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
-        merge_rows(f"{path}/visits", batch_id, visits(batch, who, node, ts), [who, node], merged)
+        merge_rows(f"{path}/visits", batch_id, visits(batch, who, node, ts), [who, node], {"visits": "sum", "first_ts": "min", "last_ts": "max"})
 
     return merge
 
@@ -101,28 +135,27 @@ def walks_of_batches(path: str, who: str = "user_id", node: str = "event_type",
 
     pages (who, node, page_id: the first sequence number), edges (src, dst, steps, first_seq), frontier (who, node,
     last_seq, flag: the last one wins), canonical (node, unique_id: the first page anywhere) and walkers (who, last_seq, node),
-    from which the first step of the next batch goes on. Batches must come in order of seq for each walker.
+    from which the first step of the next batch goes on. Edges need batches in order of seq for each walker; steps.py keeps them up
+    without.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         log = batch.select(who, F.col(node).alias("node"), F.col(seq).alias("seq"), F.col(flag).alias("flag")).persist()
-        first = F.min("page_id").alias("page_id")
-        merge_rows(f"{path}/pages", batch_id, log.groupBy(who, "node").agg(F.min("seq").alias("page_id")), [who, "node"], [first])
-        merge_rows(f"{path}/canonical", batch_id, log.groupBy("node").agg(F.min("seq").alias("unique_id")), ["node"], [F.min("unique_id").alias("unique_id")])
-        newest = [F.max("last_seq").alias("last_seq"), F.max_by("flag", "last_seq").alias("flag")]
+        merge_rows(f"{path}/pages", batch_id, log.groupBy(who, "node").agg(F.min("seq").alias("page_id")), [who, "node"], {"page_id": "min"})
+        merge_rows(f"{path}/canonical", batch_id, log.groupBy("node").agg(F.min("seq").alias("unique_id")), ["node"], {"unique_id": "min"})
         last = log.groupBy(who, "node").agg(F.max("seq").alias("last_seq"), F.max_by("flag", "seq").alias("flag"))
-        merge_rows(f"{path}/frontier", batch_id, last, [who, "node"], newest)
-        walkers = _buckets(spark, f"{path}/walkers", _manifest(spark, f"{path}/walkers", below=batch_id))
+        merge_rows(f"{path}/frontier", batch_id, last, [who, "node"], {"last_seq": "max", "flag": "last:last_seq"})
+        walkers = latest(spark, f"{path}/walkers", below=batch_id)
         steps = log.select(who, "node", "seq", F.lit(True).alias("new"))
         if walkers is not None:
             steps = steps.unionByName(walkers.select(who, "node", F.col("last_seq").alias("seq"), F.lit(False).alias("new")))
         before = F.lag("node").over(Window.partitionBy(who).orderBy("seq"))
         made = steps.withColumn("src", before).filter("new and src is not null")
         edges = made.groupBy("src", F.col("node").alias("dst")).agg(F.count("*").alias("steps"), F.min("seq").alias("first_seq"))
-        merge_rows(f"{path}/edges", batch_id, edges, ["src", "dst"], [F.sum("steps").alias("steps"), F.min("first_seq").alias("first_seq")])
+        merge_rows(f"{path}/edges", batch_id, edges, ["src", "dst"], {"steps": "sum", "first_seq": "min"})
         ends = log.groupBy(who).agg(F.max("seq").alias("last_seq"), F.max_by("node", "seq").alias("node"))
-        merge_rows(f"{path}/walkers", batch_id, ends, [who], [F.max("last_seq").alias("last_seq"), F.max_by("node", "last_seq").alias("node")])
+        merge_rows(f"{path}/walkers", batch_id, ends, [who], {"last_seq": "max", "node": "last:last_seq"})
         log.unpersist()
 
     return merge
@@ -132,19 +165,7 @@ def upsert_to(path: str, keys: list[str], order: str) -> Callable[[DataFrame, in
     """A batch function for foreachBatch: the newest row of each key, merged with the table at path (see merge_rows)."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        others = [c for c in batch.columns if c not in keys]
-        merge_rows(path, batch_id, batch, keys, [F.max_by(c, order).alias(c) for c in others if c != order] + [F.max(order).alias(order)])
+        others = [c for c in batch.columns if c not in keys and c != order]
+        merge_rows(path, batch_id, batch, keys, {c: f"last:{order}" for c in others} | {order: "max"})
 
     return merge
-
-
-def _last_version(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest manifest of an upserted table, of those below a batch number if one is given."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = [int(s.getPath().getName().removeprefix("_latest_")) for s in fs.listStatus(root) if s.getPath().getName().startswith("_latest_")]
-    done = [v for v in done if below is None or v < below]
-    return spark.read.parquet(f"{path}/version={max(done)}") if done else None

@@ -31,14 +31,28 @@ def test_tables_of_many_batches_equal_those_of_one(spark, tmp_path):
     assert {r.user_id: r.node for r in made["walkers"].collect()} == last
 
 
-def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
     path = str(tmp_path / "t")
     merge = upsert.upsert_to(path, ["k"], "seq")
-    merge(spark.createDataFrame([(f"k{i}", 1) for i in range(200)], "k string, seq long"), 0)
-    merge(spark.createDataFrame([("k7", 2)], "k string, seq long"), 1)
-    assert len(list((tmp_path / "t/data/version=1").glob("_bucket=*"))) == 1
-    got = {r.k: r.seq for r in upsert.latest(spark, path).collect()}
-    assert len(got) == 200 and got["k7"] == 2 and sum(got.values()) == 201
+    merge(spark.createDataFrame([(f"k{i}", 1, "old") for i in range(200)], "k string, seq long, v string"), 0)
+    merge(spark.createDataFrame([("k7", 2, "new")], "k string, seq long, v string"), 1)
+    assert spark.read.parquet(f"{path}/data/batch-1-0").count() == 1
+    got = {r.k: (r.seq, r.v) for r in upsert.latest(spark, path).collect()}
+    assert len(got) == 200 and got["k7"] == (2, "new") and got["k8"] == (1, "old")
+
+
+def test_runs_are_merged_in_levels_and_old_ones_go(spark, tmp_path):
+    path = str(tmp_path / "t")
+    want = {}
+    for b in range(21):
+        rows = [(f"k{(b * 3 + i) % 11}", b) for i in range(4)]
+        for again in range(1 + (b == 9)):  # a batch that runs again writes the same
+            upsert.merge_rows(path, b, spark.createDataFrame(rows, "k string, n long"), ["k"], {"n": "sum"})
+        for k, n in rows:
+            want[k] = want.get(k, 0) + n
+    assert {r.k: r.n for r in upsert.latest(spark, path).collect()} == want
+    assert len(list((tmp_path / "t/data").iterdir())) <= 2 * 3 * upsert.FAN and len(list((tmp_path / "t/manifest").glob("batch=*"))) == 2
+    assert sorted(level for _, level in upsert._manifest(spark, path)["runs"]) == [0, 1, 2]
 
 
 def test_pages_that_cannot_be_parsed_keep_their_pairs(spark):

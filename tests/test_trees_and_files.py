@@ -46,6 +46,15 @@ def test_dumps(spark):
     assert uitree.nested_dump("<a><b><c text='q' bounds='[1,1][2,2]'/></b></a>") == "(DIV - q [1,1][2,2])"
 
 
+def test_pages_nested_deeper_than_calls(spark):
+    deep = "<a>" * 4000 + "</a>" * 4000
+    nodes = uitree.parsed(pages(spark, deep, XML), "page_id", "xml")
+    m = {r.page_id: r for r in uitree.tree_metrics(nodes, "page_id").collect()}
+    assert (m[0].n_nodes, m[0].n_leaves, m[0].max_depth) == (4000, 1, 4000) and m[1].n_nodes == 6
+    dumps = {r.page_id: r.dump for r in uitree.nested_dumps(pages(spark, deep, XML, None, "<broken"), "page_id", "xml").collect()}
+    assert dumps[1] == uitree.nested_dump(XML) and dumps[0] == "" and dumps[2] is None and dumps[3] is None
+
+
 def test_tree_difference_counts_whole_subtrees(spark):
     one, two = "<a><b/><c/></a>", "<a><b/><c/><d><e/><f/></d></a>"
     nodes = uitree.parsed(pages(spark, one, two), "page_id", "xml")

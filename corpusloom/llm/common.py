@@ -43,6 +43,15 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has Spark remove the shuffle files of work that is over: it does so once the driver's JVM collects the plans that made them.
+
+    By itself that happens when the driver's heap fills up or every spark.cleaner.periodicGC.interval (half an hour); between
+    large steps whose results are stashed it keeps the executors' disks free.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def stashes_made() -> int:
     """How many stashes there are now, for release_stashes()."""
     return len(_stashes)

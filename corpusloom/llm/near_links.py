@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
-from corpusloom.llm.common import copied_join, frequent_from, split_join, stash
+from corpusloom.llm.common import copied_join, drop_shuffles, frequent_from, split_join, stash
 from corpusloom.llm.components import connected
 
 #: Links: PER_CENT * union <= 100 * intersection.
@@ -168,12 +168,14 @@ def components(shared: DataFrame, signed: DataFrame, close: Column, sets_of: Cal
             break
         if centres:
             pairs = stash(likely(stash(stars(open_), "stars"), signed, close), "pairs")
+            drop_shuffles(shared.sparkSession)
             found = confirmed(pairs, sets)
         elif many_keys:
             found = confirmed(stash(likely_across(open_, signed, close), "pairs"), sets)
         else:
             found = across(open_, signed, sets, close)
         found = stash(found, "links")
+        drop_shuffles(shared.sparkSession)
         if not found.isEmpty():
             if roots is not None:
                 found = found.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))

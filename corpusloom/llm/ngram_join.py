@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
 from corpusloom.llm import near_links as N
-from corpusloom.llm.common import small_batches, stash
+from corpusloom.llm.common import drop_shuffles, small_batches, stash
 from corpusloom.llm.minhash import WORDS, full_sets, shingle_sets
 from corpusloom.llm.near_links import PER_CENT, set_digest
 
@@ -208,6 +208,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFram
     rows = docs.select("text").mapInArrow(_keyed(words), "key long, short long")
     shared = rows.select("key", "short", F.min("short").over(of_key).alias("lo"), F.max("short").over(of_key).alias("hi")).filter("lo < hi")
     shared = stash(shared.select("key", "short").distinct(), "shared")
+    drop_shuffles(docs.sparkSession)
     named = stash(shared.join(nodes.select("node", "short"), "short").select("key", "node"), "members")
     return signed, nodes, named
 

@@ -44,7 +44,7 @@ def test_stages_equal_brute_force(spark, sf_dir):
 def test_queries_and_sql_agree_on_names():
     from corpusloom.llm import queries
 
-    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "minhash_near_dedup", "source_mixing", "sentence_pieces"]
 
 

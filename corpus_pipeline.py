@@ -39,8 +39,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
     Reads text and doc_id. Documents without any word are near nothing and all stay; a text of fewer than five words
-    is near its equals only; the smallest doc_id of a group stays, with all rows that have it; a null one stays only
-    where its group has no other.
+    is near its equals only; the smallest doc_id of a group stays, with all rows that have it; of a group of null ids only
+    the text of the least digest stays, with all rows equal to it.
     """
     return minhash.keep_one(docs)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.storage import written
@@ -137,6 +137,16 @@ def eligible(frontier: DataFrame, most: int, begins: list[str] = (), never: list
     return frontier.filter(ok)
 
 
+def write_shards(frontier: DataFrame, path: str, by: str) -> None:
+    """Writes the rows of the shards that frontier has; other shards of the table at path stay as they are."""
+    frontier.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, by: str, shards: list) -> DataFrame:
+    """A worker's part of a frontier: only the folders of its shards are listed and read."""
+    return spark.read.parquet(path).filter(F.col(by).isin(shards))
+
+
 def round_robin(frontier: DataFrame, start: int, n: int, groups: str) -> DataFrame:
     """The next row of each group, counting from start and around n."""
     order = Window.partitionBy(groups).orderBy(F.pmod(F.col("name_id") - F.lit(start), F.lit(n)), "name_id")

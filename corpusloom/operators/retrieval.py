@@ -17,6 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from corpusloom.storage import written
 
 K1, B = 1.5, 0.75
 #: Decimals to which scores are rounded before they are compared, so that ties do not hang on the last bits.
@@ -90,33 +93,46 @@ def scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
     return postings.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def _best_in_batches(names: list, vocabulary: list[str], weights: np.ndarray, k1: float, b: float, avgdl: float):
+def _best_in_batches(names: list, name_type: pa.DataType, vocabulary: list[str], weighed: list[list[tuple[int, float]]], k1: float, b: float, avgdl: float):
+    """The best document of each query in a partition; weighed has, for each term, the queries that hold it and its weight there.
+
+    A block of documents takes as many cells as it has documents times queries, and a step for each query that a counted term is in.
+    """
     known = pa.array(vocabulary, pa.string())
+    first = np.append(0, np.cumsum([len(w) for w in weighed]))
+    query = np.array([q for w in weighed for q, _ in w], np.int64)
+    weight = np.array([x for w in weighed for _, x in w])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = np.full(len(names), -1.0)
-        doc = np.full(len(names), np.iinfo(np.int64).max)
-        v = len(vocabulary)
+        m, v = len(names), len(vocabulary)
+        top = np.full(m, -1.0)
+        doc: list = [None] * m
+        id_type = None
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for at in range(0, len(ids), 256):
-                rows = batch.column(1).slice(at, 256)
+            id_type = batch.column(0).type
+            for at in range(0, len(batch), 256):
+                rows, ids = batch.column(1).slice(at, 256), batch.column(0).slice(at, 256).to_pylist()
                 size = np.array(pc.list_value_length(rows).fill_null(0))
-                terms = rows.flatten()
-                code = np.array(pc.index_in(terms, value_set=known).fill_null(-1))
-                cell = np.repeat(np.arange(len(rows)), size) * v + code
-                tf = np.bincount(cell[code >= 0], minlength=len(rows) * v).reshape(len(rows), v)
-                hit = tf * (k1 + 1) / (tf + (k1 * (1 - b + b * size / avgdl))[:, None])
-                score = np.round(hit @ weights, DIGITS)
-                here = ids[at : at + 256]
-                high = score.max(axis=0)
-                least = np.where(score == high, here[:, None], np.iinfo(np.int64).max).min(axis=0)
-                better = (high > top) | ((high == top) & (least < doc))
-                top, doc = np.where(better, high, top), np.where(better, least, doc)
-        seen = doc < np.iinfo(np.int64).max
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([n for n, s in zip(names, seen) if s], pa.int64()), pa.array(doc[seen]), pa.array(top[seen])], ["query_id", "doc_id", "score"]
-        )
+                code = np.array(pc.index_in(rows.flatten(), value_set=known).fill_null(-1))
+                cell, tf = np.unique((np.repeat(np.arange(len(rows)), size) * v + code)[code >= 0], return_counts=True)
+                row, term = cell // v, cell % v
+                hit = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / avgdl))
+                times = first[term + 1] - first[term]
+                entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first[term], times)
+                part = np.repeat(hit, times) * weight[entry]
+                score = np.round(np.bincount(np.repeat(row, times) * m + query[entry], part, len(rows) * m).reshape(len(rows), m), DIGITS)
+                order = sorted(range(len(ids)), key=ids.__getitem__)
+                at_best = score[order].argmax(axis=0)  # the least id of those with the highest score
+                high = score[order].max(axis=0)
+                for q in np.flatnonzero(high >= top):
+                    here = ids[order[at_best[q]]]
+                    if high[q] > top[q] or here < doc[q]:
+                        top[q], doc[q] = high[q], here
+        seen = [q for q in range(m) if doc[q] is not None]
+        if seen:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[q] for q in seen], name_type), pa.array([doc[q] for q in seen], id_type), pa.array(top[seen])], ["query_id", "doc_id", "score"]
+            )
 
     return best
 
@@ -136,14 +152,15 @@ def best_documents(index: Bm25Index, queries: DataFrame, max_queries: int = MAX_
         if index.extra_df is not None:
             frequencies = frequencies.unionByName(index.extra_df.join(F.broadcast(words), "term", "left_semi")).groupBy("term").agg(F.sum("df").alias("df"))
         df = {r.term: r.df for r in frequencies.collect()}  # no more than the vocabulary
-        weights = np.zeros((len(vocabulary), len(asked)))
+        weighed: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
         for k, q in enumerate(asked):
             for t, m in Counter(q.terms).items():
                 d = df.get(t, 0)
-                weights[vocabulary[t], k] = m * np.log((n - d + 0.5) / (d + 0.5) + 1)
-        names = [q.query_id for q in asked]
+                weighed[vocabulary[t]].append((k, m * float(np.log((n - d + 0.5) / (d + 0.5) + 1))))
+        names, name_type, id_type = [q.query_id for q in asked], queries.schema["query_id"].dataType, index.docs.schema["doc_id"].dataType
         found = index.docs.select("doc_id", "terms").mapInArrow(
-            _best_in_batches(names, list(vocabulary), weights, index.k1, index.b, avgdl or 1.0), "query_id long, doc_id long, score double"
+            _best_in_batches(names, to_arrow_type(name_type), list(vocabulary), weighed, index.k1, index.b, avgdl or 1.0),
+            f"query_id {name_type.simpleString()}, doc_id {id_type.simpleString()}, score double",
         )
     else:
         first = index.docs.agg(F.min("doc_id").alias("doc_id"))
@@ -185,6 +202,23 @@ def jaccard_pairs(sets: DataFrame, limit: float) -> DataFrame:
     )
 
 
+def jaccard_classes(sets: DataFrame, limit: float) -> DataFrame:
+    """doc_id, class_id, copies, linked: jaccard_pairs() without a row per pair of copies.
+
+    Pages with equal sets are one class, named by its least doc_id; only classes meet. linked counts the other pages that are
+    more alike than limit, copies included; which they are follows from jaccard_pairs() over the classes and the membership.
+    """
+    keyed = sets.withColumn("cls", F.md5(F.to_json(F.array_sort("lines")).cast("binary")))
+    classes = written(keyed.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("lines").alias("lines"), F.first("n").alias("n")), "classes")
+    pairs = jaccard_pairs(classes.select(F.col("class_id").alias("doc_id"), "lines", "n"), limit).select("a", "b")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sizes = classes.select(F.col("class_id").alias("b"), "copies")
+    others = both.join(sizes, "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("copies").alias("others"))
+    known = classes.select("cls", "class_id", "copies", (F.col("n") > 0).alias("some")).join(others, "class_id", "left")
+    own = F.when(F.col("some"), F.col("copies") - 1).otherwise(0)
+    return keyed.select("doc_id", "cls").join(known, "cls").select("doc_id", "class_id", "copies", (F.coalesce("others", F.lit(0)) + own).alias("linked"))
+
+
 def containment(saved: Column, code: Column) -> Column:
     """share, hits, n, back: each line of code counts as often as it stands, saved is a set."""
     hits = F.size(F.filter(code, lambda line: F.array_contains(saved, line)))

@@ -156,6 +156,16 @@ def frontier_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.eligible(f, 10, ["app1", "app3", "app4"], ["p4"]).select("user_id", "name_id", "name")
 
 
+@query(f"with {_FLAGS} select user_id, name_id, user_id % 9 = 3 or done as done, cast(user_id % 9 as int) as shard from frontier where user_id % 9 in (3, 5)")
+def frontier_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frontier split among workers: one worker has written its shard anew, another reads that and its own."""
+    path = scratch(spark, "shards")
+    rows = _frontier(spark, sf_dir).select("user_id", "name_id", "done", (F.col("user_id") % 9).cast("int").alias("shard"))
+    graph.write_shards(rows, path, "shard")
+    graph.write_shards(written(graph.read_shards(spark, path, "shard", [3]).withColumn("done", F.lit(True)), "done"), path, "shard")
+    return graph.read_shards(spark, path, "shard", [3, 5]).select("user_id", "name_id", "done", "shard")
+
+
 @query(f"with {_FLAGS} select user_id, failed from frontier where failed < 3")
 def failures_below_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frontier(spark, sf_dir).filter("failed < 3").select("user_id", "failed")

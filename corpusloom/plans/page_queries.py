@@ -101,3 +101,84 @@ def child_count_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select page_id, 'data:text/html;base64,' || to_base64(encode(html)) as url from pages")
 def page_data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", data_url(F.encode("html", "UTF-8"), "text/html").alias("url"))
+
+
+def _screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An XML page per order: a frame with an element for each of its items."""
+    n, item = F.col("l_linenumber").cast("string"), F.col("l_linenumber") % 3
+    kind = F.when(item == 0, "android.widget.TextView").when(item == 1, "android.widget.Button").otherwise("android.widget.ImageView")
+    box = F.concat(F.lit("["), n, F.lit(",1]["), F.col("l_quantity").cast("int").cast("string"), F.lit(",2]"))
+    element = F.concat(
+        F.lit("<"), kind, F.lit(' text="'), "l_returnflag", F.lit(" "), n, F.lit('" resource-id="r'), n, F.lit('" package="p" class="c" bounds="'), box, F.lit('"/>')
+    )
+    inside = F.array_join(F.array_sort(F.collect_list(F.struct("l_linenumber", element.alias("e"))))["e"], "")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(inside.alias("inside"))
+    frame = F.concat(F.lit('<android.widget.FrameLayout clickable="'), (F.col("page_id") % 2 == 0).cast("string"), F.lit('" bounds="[0,0][9,9]">'))
+    return rows.select("page_id", F.concat(F.lit("<hierarchy>"), frame, "inside", F.lit("</android.widget.FrameLayout></hierarchy>")).alias("xml"))
+
+
+_SCREENS = """
+i as (select l_orderkey as page_id, l_linenumber as n, row_number() over (partition by l_orderkey order by l_linenumber, l_returnflag, trunc(l_quantity)::int || ',2]') as k, l_orderkey % 2 = 0 as lit,
+  'android.widget.' || case l_linenumber % 3 when 0 then 'TextView' when 1 then 'Button' else 'ImageView' end as type,
+  case l_linenumber % 3 when 0 then 'p' when 1 then 'button' else 'img' end as tag, l_returnflag || ' ' || l_linenumber as text,
+  '[' || l_linenumber || ',1][' || trunc(l_quantity)::int || ',2]' as box from lineitem)
+"""
+
+
+def _screen_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uitree.parsed(_screens(spark, sf_dir), "page_id", "xml")
+
+
+@query(f"""
+with {_SCREENS}, p as (select distinct page_id, lit from i)
+select page_id, 0 as node_id, null::int as parent_id, 1 as depth, '' as place, 'hierarchy' as type, null as text, null as bounds, false as is_leaf, true as visible, false as inherited from p
+union all select page_id, 1, 0, 2, '/0', 'android.widget.FrameLayout', null, '[0,0][9,9]', false, false, lit from p
+union all select page_id, cast(k + 1 as int), 1, 3, '/0/' || (k - 1), type, text, box, true, true, lit from i
+""")
+def xml_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node tables of XML pages, with what nodes take over from those above."""
+    return _screen_nodes(spark, sf_dir).select("page_id", "node_id", "parent_id", "depth", "place", "type", "text", "bounds", "is_leaf", "visible", "inherited")
+
+
+def _screen_html(bounds: str) -> str:
+    return f"""
+with {_SCREENS}
+select page_id, string_agg('<' || tag || ' id="r' || n || '" package="p" class="c"' || case when lit then ' clickable="true"' else '' end || {bounds} || '> ' || text || ' </' || tag || '>' || chr(10), '' order by k) as html
+from i group by page_id
+"""
+
+
+@query(_screen_html("''"))
+def xml_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uitree.pages_of(uitree.rendered_lines(_screen_nodes(spark, sf_dir), "page_id"), "page_id")
+
+
+@query(_screen_html("""' bounds="' || box || '"'"""))
+def xml_html_with_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uitree.pages_of(uitree.rendered_lines(_screen_nodes(spark, sf_dir), "page_id", with_bounds=True), "page_id")
+
+
+@query(f"with {_SCREENS} select page_id, string_agg('<ref>' || text || '</ref><box>' || box || '</box>', chr(10) order by k) as dump from i group by page_id")
+def xml_text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uitree.text_boxes(_screen_nodes(spark, sf_dir), "page_id")
+
+
+@query(f"""
+with {_SCREENS} select page_id, '(' || string_agg(case tag when 'img' then 'IMAGE' else upper(tag) end || ' - ' || text || ' ' || box, ', ' order by k) || ')' as dump from i group by page_id
+""")
+def xml_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uitree.nested_dumps(_screens(spark, sf_dir), "page_id", "xml")
+
+
+@query("select p_partkey, cast(p_partkey as int) as width, cast(p_size + 256 * (p_partkey % 7) as int) as height from part")
+def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of images from the heads of their files, PNG and GIF by turns."""
+    from corpusloom.sources.files import image_size
+
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("int").alias("w"), (F.col("p_size") + 256 * (F.col("p_partkey") % 7)).cast("int").alias("h"))
+    four = lambda c: F.lpad(F.hex(c), 8, "0")
+    two = lambda c: F.concat(F.lpad(F.hex(F.col(c) % 256), 2, "0"), F.lpad(F.hex(F.floor(F.col(c) / 256).cast("long")), 2, "0"))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), four("w"), four("h"))
+    gif = F.concat(F.lit("474946383961"), two("w"), two("h"))
+    small = (F.col("p_partkey") % 2 == 0) & (F.col("w") < 65536) & (F.col("h") < 65536)
+    return part.select("p_partkey", image_size(F.unhex(F.when(small, gif).otherwise(png))).alias("s")).select("p_partkey", "s.width", "s.height")

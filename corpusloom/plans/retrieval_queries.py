@@ -90,6 +90,20 @@ def line_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.jaccard_pairs(sets, 0.5).select("a", "b", "common", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query(f"""
+with d as (select doc_id, list_distinct({_LINES}) as lines from documents),
+c as (select md5(array_to_string(list_sort(lines), chr(10))) as cls, min(doc_id) as class_id, count(*) as copies, any_value(lines) as lines from d group by cls),
+t as (select class_id, copies, len(lines) as n, unnest(lines) as line from c),
+p as (select x.class_id, y.copies, x.n as na, y.n as nb, y.class_id as other, count(*) as common from t x join t y on x.line = y.line and x.class_id <> y.class_id group by all),
+o as (select class_id, sum(copies) as others from p where common / (na + nb - common) > 0.5 group by class_id)
+select d.doc_id, c.class_id, c.copies, cast(c.copies - 1 + coalesce(o.others, 0) as bigint) as linked
+from d join c on c.cls = md5(array_to_string(list_sort(d.lines), chr(10))) left join o using (class_id)
+""")
+def line_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of equal line sets, and how many others are like it, without a row per pair."""
+    return retrieval.jaccard_classes(retrieval.line_sets(spread(table(spark, sf_dir, "documents")), lines(F.col("text"))), 0.5)
+
+
 @query(f"""
 with d as (select doc_id, source, {_LINES} as lines from documents),
 f as (select source, min(doc_id) as saved from d group by source),

@@ -115,3 +115,13 @@ def test_offline_takes_the_first_or_with_parity_the_last(spark):
     df = spark.createDataFrame(rows, "app string, page_id long, seq long, lines array<string>")
     assert {r.page_id: r.unique_id for r in canonical.offline(df, "app").collect()}[2] == 0
     assert {r.page_id: r.unique_id for r in canonical.offline(df, "app", parity=True).collect()}[2] == 1
+
+
+def test_ids_of_any_type_both_ways(spark):
+    docs = [("d3", "a b a"), ("d1", "a b a"), ("d2", "c"), ("d0", "")]
+    asked = [("q1", "a"), ("q2", "c c"), ("q3", "zz"), ("q4", "a c b")]
+    split = F.filter(F.split("t", " "), lambda w: w != "")
+    index = retrieval.Bm25Index(spark.createDataFrame(docs, "doc_id string, t string").repartition(3).select("doc_id", split.alias("terms")))
+    queries = spark.createDataFrame(asked, "query_id string, t string").select("query_id", split.alias("terms"))
+    ways = [{r.query_id: (r.doc_id, round(r.score, 6)) for r in retrieval.best_documents(index, queries, max_queries=most).collect()} for most in (100, 0)]
+    assert ways[0] == ways[1] and {q: d for q, (d, _) in ways[0].items()} == {"q1": "d1", "q2": "d2", "q3": "d0", "q4": "d2"}

@@ -131,13 +131,13 @@ def _screen_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {_SCREENS}, p as (select distinct page_id, lit from i)
-select page_id, 0 as node_id, null::int as parent_id, 1 as depth, '' as place, 'hierarchy' as type, null as text, null as bounds, false as is_leaf, true as visible, false as inherited from p
+select page_id, 0 as node_id, -1 as parent_id, 1 as depth, '' as place, 'hierarchy' as type, null as text, null as bounds, false as is_leaf, true as visible, false as inherited from p
 union all select page_id, 1, 0, 2, '/0', 'android.widget.FrameLayout', null, '[0,0][9,9]', false, false, lit from p
 union all select page_id, cast(k + 1 as int), 1, 3, '/0/' || (k - 1), type, text, box, true, true, lit from i
 """)
 def xml_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node tables of XML pages, with what nodes take over from those above."""
-    return _screen_nodes(spark, sf_dir).select("page_id", "node_id", "parent_id", "depth", "place", "type", "text", "bounds", "is_leaf", "visible", "inherited")
+    """Node tables of XML pages, with what nodes take over from those above; the root's parent is -1."""
+    return _screen_nodes(spark, sf_dir).select("page_id", "node_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "depth", "place", "type", "text", "bounds", "is_leaf", "visible", "inherited")
 
 
 def _screen_html(bounds: str) -> str:

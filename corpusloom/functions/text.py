@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The ranges that count as Chinese for the two predicates.
 ALL_CHINESE, ANY_CHINESE = "^[\\u4e00-\\u9fa5]*$", "[\\u4e00-\\u9fff]"
+#: The characters that upper() makes several of, and the one that stands for each where every character stays one.
+_LONGER = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -31,6 +33,15 @@ def kept_lines(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("([^\\n]*\\n|[^\\n]+)"), 1)
 
 
+def simple_upper(text: Column) -> Column:
+    """Upper case, one character for each, as in DuckDB: upper() alone makes SS of ß."""
+    special = "".join(_LONGER)
+    names = F.create_map(*[F.lit(x) for kv in _LONGER.items() for x in kv])
+    runs = F.regexp_extract_all(text, F.lit(f"([{special}]|[^{special}]+)"), 1)
+    mixed = F.array_join(F.transform(runs, lambda x: F.coalesce(F.element_at(names, x), F.upper(x))), "")
+    return F.when(text.rlike(f"[{special}]"), mixed).otherwise(F.upper(text))
+
+
 def words(text: Column) -> Column:
     """Non-empty runs without white space."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bpe
+from corpusloom.functions.text import let, simple_upper
 from corpusloom.operators import corpus, graph
 from corpusloom.plans.catalog import query, spread, table
 from corpusloom.sources.files import decoded_twice, encoded_twice
@@ -186,12 +187,12 @@ select d.doc_id, n.name from documents d join n on contains(upper(d.text), n.nam
 def app_api_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue entries that a text mentions. A small catalogue goes to all texts as one list, a larger one meets their words by parts of words."""
     bench = table(spark, sf_dir, "benchmark")
-    names = bench.select(F.upper(F.regexp_extract("text", "^[^ ]+", 0)).alias("name")).filter("name <> ''").distinct()
+    names = bench.select(simple_upper(F.regexp_extract("text", "^[^ ]+", 0)).alias("name")).filter("name <> ''").distinct()
     known = [r.name for r in names.limit(10_001).collect()]
-    rows = spread(_docs(spark, sf_dir)).select("doc_id", F.upper("text").alias("t"))
+    rows, upper = spread(_docs(spark, sf_dir)), simple_upper(F.col("text"))
     if len(known) > 10_000:
-        return corpus.mentions(rows, "doc_id", "t", names, "name")
-    hits = F.filter(F.array(*map(F.lit, known)), lambda n: F.col("t").contains(n)) if known else F.array().cast("array<string>")
+        return corpus.mentions(rows.select("doc_id", upper.alias("t")), "doc_id", "t", names, "name")
+    hits = let(upper, lambda t: F.filter(F.array(*map(F.lit, known)), lambda n: t.contains(n))) if known else F.array().cast("array<string>")
     return rows.select("doc_id", F.explode(hits).alias("name"))
 
 

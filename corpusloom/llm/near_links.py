@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import kernels as K
-from corpusloom.llm.common import copied_join, drop_shuffles, frequent_from, split_join, stash
+from corpusloom.llm.common import copied_join, drop_shuffles, frequent_from, release_stashes, split_join, stash, stashes_made
 from corpusloom.llm.components import connected
 
 #: Links: PER_CENT * union <= 100 * intersection.
@@ -153,25 +153,31 @@ def likely_across(open_: DataFrame, signed: DataFrame, close: Column) -> DataFra
     return pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
 
 
-def components(shared: DataFrame, signed: DataFrame, close: Column, sets_of: Callable[[DataFrame], DataFrame], many_keys: bool = False) -> DataFrame | None:
+def components(
+    shared: DataFrame, signed: DataFrame, close: Column, sets_of: Callable[[DataFrame], DataFrame], many_keys: bool = False,
+    finer: tuple[DataFrame, Column] | None = None,
+) -> DataFrame | None:
     """node, root of the classes that are linked with others and are not the least of their component; None: no two are linked.
 
     shared: key, node of the keys that several classes have; signed: node, size and what close looks at, as x and y;
-    sets_of: node, hashes of the nodes asked for; many_keys: see likely_across(). Stars first, from one centre and then from several, as they cost no
+    sets_of: node, hashes of the nodes asked for; many_keys: see likely_across(); finer: a larger table as signed and a second exact
+    test over it, for the pairs that pass the first, before full sets are sent for them. Stars first, from one centre and then from several, as they cost no
     more than their rows; then every pair of members that are still in different components.
     """
     sets, roots = Sets(sets_of), None
     for centres in (1, CENTRES, 0):
+        mark = stashes_made()
         members = placed(shared, roots)
         open_ = stash(still_open(members, max(centres, 1)), "members")
         if open_.isEmpty():
             break
-        if centres:
-            pairs = stash(likely(stash(stars(open_), "stars"), signed, close), "pairs")
+        if centres or many_keys:
+            pairs = stash(likely(stash(stars(open_), "stars"), signed, close) if centres else likely_across(open_, signed, close), "pairs")
+            if finer is not None:
+                pairs = stash(likely(pairs, *finer), "finer")
+            release_stashes(mark, stashes_made() - 1)  # the pairs are all that is needed of the members
             drop_shuffles(shared.sparkSession)
             found = confirmed(pairs, sets)
-        elif many_keys:
-            found = confirmed(stash(likely_across(open_, signed, close), "pairs"), sets)
         else:
             found = across(open_, signed, sets, close)
         found = stash(found, "links")

@@ -12,7 +12,7 @@ A signature of empty cells would be shared by sets that have nothing in common.
 first shingles of their set in hash order, as many as any two linked sets must share one of. So no pair is lost.
 
 Candidates, links and components: near_links.py. The cheap test is exact: the parities of 1,024 cells of the domain
-differ in at most as many places as the sets differ in shingles.
+differ in at most as many places as the sets differ in shingles. Large sets, which nearly all pass that, are told apart by more cells.
 
 Cases: null or blank text has an empty set and is linked with nothing; a text of fewer words than a shingle has its whole
 sequence as the only one; equal sets are one class whatever their number; a null doc_id is a component's id only where there is
@@ -39,6 +39,8 @@ from corpusloom.llm.near_links import PER_CENT, set_digest
 BAND, SPARE = 1.6, 0.15
 #: Longs of parities of a set.
 PARITY = 16
+#: Larger sets have so many cells in fewer shingles that almost any two pass; parities of this many cells a shingle tell them apart.
+WIDE = 2
 #: Classes of which a task remembers that it has written their keys; it saves rows, no result rests on it.
 REMEMBERED = 1 << 17
 
@@ -131,12 +133,18 @@ class Schemes:
         return np.concatenate([np.empty(0, np.uint64), *(s.keys(hashes, upto) for s in found if s is not None)])
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """Whether each cell of the domain holds an odd number of the set, packed."""
-    odd = np.bincount((hashes & np.uint64(PARITY * 64 - 1)).astype(np.int64), minlength=PARITY * 64) & 1
+def parities(hashes: np.ndarray, longs: int = PARITY) -> np.ndarray:
+    """Whether each cell of the domain, of 64 to a long, holds an odd number of the set, packed."""
+    odd = np.bincount((hashes & np.uint64(longs * 64 - 1)).astype(np.int64), minlength=longs * 64) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_parities(hashes: np.ndarray) -> np.ndarray | None:
+    """Parities of WIDE cells a shingle or more, a power of two; None where parities() has as many."""
+    longs = 1 << max(0, (-(-len(hashes) * WIDE // 64) - 1).bit_length())
+    return parities(hashes, longs) if longs > PARITY else None
+
+
 def _close() -> Column:
     """No linked pair fails: sizes are similar, and parities differ in no more places than linked sets may differ in shingles."""
     apart = None
@@ -147,7 +155,17 @@ def _close() -> Column:
     return N.similar_sizes(F.col("x.size"), F.col("y.size")) & (apart * (100 + PER_CENT) <= both * (100 - PER_CENT))
 
 
-_SIGNED = "doc_id {id}, n_shingles long, node binary, short long, sig array<long>"
+def _close_wide() -> Column:
+    """The same by wide_parities(). Those of a set of up to 1.25 times the size have as many cells or twice as many, and then two of them make one."""
+    x, y = F.col("x.wide"), F.col("y.wide")
+    n = F.least(F.size(x), F.size(y))
+    folded = lambda w: F.when(F.size(w) == n, w).otherwise(F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, n + 1, n), lambda a, b: a.bitwiseXOR(b)))
+    apart = F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, k: total + k)
+    both = F.col("x.size") + F.col("y.size")
+    return x.isNull() | y.isNull() | (apart * (100 + PER_CENT) <= both * (100 - PER_CENT))
+
+
+_SIGNED = "doc_id {id}, n_shingles long, node binary, short long, sig array<long>, wide array<long>"
 
 
 def _short(node: bytes) -> int:
@@ -158,14 +176,16 @@ def _short(node: bytes) -> int:
 def _signed(words: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, short, sig = [], [], [], []
+            n, node, short, sig, wide = [], [], [], [], []
             for s in shingle_sets(K.column_bytes(batch, "text"), words):
                 n.append(len(s))
                 node.append(set_digest(s) if len(s) else None)
                 short.append(_short(node[-1]) if len(s) else None)
                 sig.append(parities(s) if len(s) else None)
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(short, pa.int64()), pa.array(sig, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node", "short", "sig"])
+                wide.append(wide_parities(s))
+            longs = pa.list_(pa.int64())
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(short, pa.int64()), pa.array(sig, longs), pa.array(wide, longs)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node", "short", "sig", "wide"])
 
     return sign
 
@@ -193,13 +213,13 @@ def _keyed(words: int):
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The signed documents, their classes (node, rep, times, size, sig) and key, node of the keys that several classes have."""
+    """The signed documents, their classes (node, rep, times, size, sig, wide) and key, node of the keys that several classes have."""
     small_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text")
     signed = stash(slim.mapInArrow(_signed(words), _SIGNED.format(id=docs.schema["doc_id"].dataType.simpleString())), "signed")
     nodes = stash(
         signed.filter("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("short").alias("short"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")
+            F.min("doc_id").alias("rep"), F.count("*").alias("times"), F.first("short").alias("short"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("wide").alias("wide")
         ),
         "nodes",
     )
@@ -228,5 +248,5 @@ def report(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
     signed, nodes, shared = signatures(docs, words)
     slim = docs.select("doc_id", "text")
-    roots = N.components(shared, nodes.select("node", "size", "sig"), _close(), lambda wanted: full_sets(wanted, nodes, slim, words), many_keys=True)
+    roots = N.components(shared, nodes.select("node", "size", "sig"), _close(), lambda wanted: full_sets(wanted, nodes, slim, words), many_keys=True, finer=(nodes.select("node", "size", "wide"), _close_wide()))
     return N.report(signed.select("doc_id", "n_shingles", "node"), nodes, roots).select("doc_id", "n_shingles", "component_id")

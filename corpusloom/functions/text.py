@@ -34,12 +34,12 @@ def kept_lines(text: Column) -> Column:
 
 
 def simple_upper(text: Column) -> Column:
-    """Upper case, one character for each, as in DuckDB: upper() alone makes SS of ß."""
-    special = "".join(_LONGER)
+    """Upper case, one character for each, as in DuckDB: upper() alone makes SS of ß. Only texts that it makes longer are taken apart."""
+    special = "ßŉǰΐΰև\u1e96-\u1e9a\u1f50-\u1ffc\ufb00-\ufb17"  # all of _LONGER, and some others
     names = F.create_map(*[F.lit(x) for kv in _LONGER.items() for x in kv])
     runs = F.regexp_extract_all(text, F.lit(f"([{special}]|[^{special}]+)"), 1)
     mixed = F.array_join(F.transform(runs, lambda x: F.coalesce(F.element_at(names, x), F.upper(x))), "")
-    return F.when(text.rlike(f"[{special}]"), mixed).otherwise(F.upper(text))
+    return let(F.upper(text), lambda upper: F.when(F.length(upper) > F.length(text), mixed).otherwise(upper))
 
 
 def words(text: Column) -> Column:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ NODE_SCHEMA = (
     "is_leaf boolean, visible boolean, inherited boolean"
 )
 _NAMES = [part.split()[0] for part in NODE_SCHEMA.split(", ")]
+_ARROW = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+#: Nodes that a worker holds before it gives them out.
+NODES_HELD = 4096
 #: Elements that never have content in HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Fixed values, first match wins: what a type's name holds, and the tag it is rendered as.
@@ -116,18 +120,24 @@ def node_rows(source: str | None, soup: bool = False) -> list[tuple]:
     return rows
 
 
-def parsed(pages: DataFrame, key: str, source: str, soup: bool = False) -> DataFrame:
-    """key and NODE_SCHEMA: one row per node of each page."""
-    kind = dict(pages.dtypes)[key]
+def _node_batches(batches: Iterator[pa.RecordBatch], names: list[str], types: list[pa.DataType], soup: bool) -> Iterator[pa.RecordBatch]:
+    """Nodes of pages (key, source), given out as soon as there are NODES_HELD of them: only those and one more page are held."""
+    for batch in batches:
+        owner, made = [], []
+        for at in range(len(batch)):
+            rows = node_rows(batch.column(1)[at].as_py(), soup)
+            owner += [at] * len(rows)
+            made += rows
+            if made and (len(made) >= NODES_HELD or at == len(batch) - 1):
+                columns = [pa.array(c, t) for c, t in zip(zip(*made), types)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *columns], names)
+                owner, made = [], []
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [(k, *row) for k, s in zip(frame.iloc[:, 0], frame.iloc[:, 1]) for row in node_rows(s, soup)]
-            out = pd.DataFrame(made, columns=[key, *_NAMES])
-            out["parent_id"] = out["parent_id"].astype("Int32")
-            yield out
 
-    return pages.select(key, source).mapInPandas(parse, f"{key} {kind}, {NODE_SCHEMA}")
+def parsed(pages: DataFrame, key: str, source: str, soup: bool = False) -> DataFrame:
+    """key and NODE_SCHEMA: one row per node of each page."""
+    kind, names, types = dict(pages.dtypes)[key], [key, *_NAMES], [_ARROW[part.split()[1]] for part in NODE_SCHEMA.split(", ")]
+    return pages.select(key, source).mapInArrow(lambda batches: _node_batches(batches, names, types, soup), f"{key} {kind}, {NODE_SCHEMA}")
 
 
 def register_table_function(spark, name: str = "parse_ui") -> None:

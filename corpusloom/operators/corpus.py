@@ -101,10 +101,9 @@ def chat_rows(talks: DataFrame, key: str, max_len: int, system: str = "You are a
 
 def byte_ids(text: Column) -> Column:
     """Token ids of a text by its UTF-8 bytes, 0 to 255."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    n = (F.length(h) / 2).cast("int")
-    some = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substring(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
-    return F.when(n > 0, some).otherwise(F.array().cast("array<int>"))
+    each = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")  # a character for each byte
+    ids = F.transform(F.filter(each, lambda c: c != ""), lambda c: F.ascii(c))
+    return F.coalesce(ids, F.array().cast("array<int>"))
 
 
 def chat_ids(
@@ -125,13 +124,14 @@ def chat_ids(
     head = F.concat(one(start), literal("system"), line, literal(system))
     turns = F.when(F.element_at(F.col("conversations"), 1)["from"] != "user", F.slice("conversations", F.lit(2), F.size("conversations"))).otherwise(F.col("conversations"))
     turns = F.filter(turns, lambda t: t["from"].isin("user", "assistant"))
-    role = lambda t: F.concat(one(start), of_turn(t, "from"), line)
-    asked = lambda t: F.concat(one(start), skip(F.size(role(t)) + F.size(of_turn(t, "value")) - 1), close)
-    told = lambda t: F.concat(one(start), skip(F.size(role(t)) - 1), of_turn(t, "value"), close)
-    made = talks.select(
+    # Each text is encoded once; what follows takes its ids.
+    coded = F.transform(turns, lambda t: F.struct(t["from"].alias("from"), F.concat(one(start), of_turn(t, "from"), line).alias("role"), of_turn(t, "value").alias("ids")))
+    asked = lambda t: F.concat(one(start), skip(F.size(t["role"]) + F.size(t["ids"]) - 1), close)
+    told = lambda t: F.concat(one(start), skip(F.size(t["role"]) - 1), t["ids"], close)
+    made = talks.select(key, coded.alias("_coded")).select(
         key,
-        F.concat(head, close, F.flatten(F.transform(turns, lambda t: F.concat(role(t), of_turn(t, "value"), close)))).alias("i"),
-        F.concat(one(start), skip(F.size(head) - 1), close, F.flatten(F.transform(turns, lambda t: F.when(t["from"] == "user", asked(t)).otherwise(told(t))))).alias("l"),
+        F.concat(head, close, F.flatten(F.transform("_coded", lambda t: F.concat(t["role"], t["ids"], close)))).alias("i"),
+        F.concat(one(start), skip(F.size(head) - 1), close, F.flatten(F.transform("_coded", lambda t: F.when(t["from"] == "user", asked(t)).otherwise(told(t))))).alias("l"),
     )
     if max_len is None:
         full = lambda c, fill: c

@@ -8,7 +8,7 @@ else is columns and aggregations over that table.
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -65,30 +65,14 @@ class _Soup(HTMLParser):
             node["text"] = (node["text"] + " " + data.strip()).strip()
 
 
-def _from_xml(source: str) -> dict | None:
+def _from_xml(source: str) -> ET.Element | None:
     if "<!DOCTYPE" in source or "<!ENTITY" in source:  # no entities from pages
         return None
     try:
-        root = ET.fromstring(source)
+        return ET.fromstring(source)
     except ET.ParseError:
         return None
 
-    def made(e: ET.Element) -> dict:
-        get = e.attrib.get
-        return {
-            "type": e.tag, "text": get("text"), "content_desc": get("content-desc"), "resource_id": get("resource-id"),
-            "package": get("package"), "class_label": get("class"), "clickable": get("clickable"), "scrollable": get("scrollable"),
-            "displayed": get("displayed"), "bounds": get("bounds"), "kids": [],
-        }
-
-    top = made(root)
-    left = [(root, top)]
-    while left:  # by a list of what is left, as pages may be nested deeper than calls
-        e, node = left.pop()
-        node["kids"] = [made(k) for k in e]
-        left += zip(e, node["kids"])
-    return top
-
 
 def node_rows(source: str | None, soup: bool = False) -> list[tuple]:
     """Rows of NODE_SCHEMA in pre-order; none for a page that cannot be parsed."""
@@ -98,18 +82,39 @@ def node_rows(source: str | None, soup: bool = False) -> list[tuple]:
         parser = _Soup()
         parser.feed(source)
         parser.close()
-        root = parser.root
-    else:
-        root = _from_xml(source)
-    if root is None:
-        return []
+        return _soup_rows(parser.root)
+    root = _from_xml(source)
+    return [] if root is None else _xml_rows(root)
+
+
+def _seen(parent: int | None, text: str | None, description: str | None, type_: str) -> bool:
+    return parent is None or bool(text) or bool(description) or "button" in (name := type_.lower()) or "edittext" in name
+
+
+def _xml_rows(root: ET.Element) -> list[tuple]:
+    rows: list[tuple] = []
+    stack = [(root, None, 1, 0, "", False)]
+    while stack:  # by a list of what is left, as pages may be nested deeper than calls
+        e, parent, depth, idx, place, above = stack.pop()
+        own, get, type_ = len(rows), e.get, e.tag
+        text, description, clickable = get("text"), get("content-desc"), get("clickable")
+        inherited = above or clickable == "true"
+        rows.append((
+            own, parent, depth, idx, place, type_, text, description, get("resource-id"), get("package"), get("class"), clickable,
+            get("scrollable"), get("displayed"), get("bounds"), not len(e), _seen(parent, text, description, type_), inherited,
+        ))
+        for i in range(len(e) - 1, -1, -1):
+            stack.append((e[i], own, depth + 1, i, f"{place}/{i}", inherited))
+    return rows
+
+
+def _soup_rows(root: dict) -> list[tuple]:
     rows: list[tuple] = []
     stack = [(root, None, 1, 0, "", False)]
     while stack:
         node, parent, depth, idx, place, above = stack.pop()
         own = len(rows)
-        name = node["type"].lower()
-        seen = parent is None or bool(node.get("text")) or bool(node.get("content_desc")) or "button" in name or "edittext" in name
+        seen = _seen(parent, node.get("text"), node.get("content_desc"), node["type"])
         inherited = above or node.get("clickable") == "true"
         rows.append((
             own, parent, depth, idx, place, node["type"], node.get("text"), node.get("content_desc"), node.get("resource_id"),
@@ -140,6 +145,32 @@ def parsed(pages: DataFrame, key: str, source: str, soup: bool = False) -> DataF
     return pages.select(key, source).mapInArrow(lambda batches: _node_batches(batches, names, types, soup), f"{key} {kind}, {NODE_SCHEMA}")
 
 
+def parsed_pages(pages: DataFrame, key: str, source: str, columns: list[str], soup: bool = False) -> DataFrame:
+    """key, nodes: the nodes of each page that can be parsed as one array in pre-order, with the named columns of NODE_SCHEMA.
+
+    For what is made of each page alone: its nodes need not be shuffled to come together again.
+    """
+    kinds = dict(part.split() for part in NODE_SCHEMA.split(", "))
+    at, types = [_NAMES.index(c) for c in columns], [_ARROW[kinds[c]] for c in columns]
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, ends, made = [], [0], []
+            for k in range(len(batch)):
+                if rows := node_rows(batch.column(1)[k].as_py(), soup):
+                    made += rows
+                    owner.append(k)
+                    ends.append(len(made))
+                if made and (len(made) >= NODES_HELD or k == len(batch) - 1):
+                    values = list(zip(*made))
+                    nodes = pa.StructArray.from_arrays([pa.array(values[i], t) for i, t in zip(at, types)], columns)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)], [key, "nodes"])
+                    owner, ends, made = [], [0], []
+
+    fields = ", ".join(f"{c}: {kinds[c]}" for c in columns)
+    return pages.select(key, source).mapInArrow(batches_of, f"{key} {dict(pages.dtypes)[key]}, nodes array<struct<{fields}>>")
+
+
 def register_table_function(spark, name: str = "parse_ui") -> None:
     """parse_ui(xml) for SQL: SELECT ... FROM pages, LATERAL parse_ui(xml)."""
 
@@ -157,29 +188,52 @@ def tag_of(type_: Column) -> Column:
     return out
 
 
-def rendered_lines(nodes: DataFrame, key: str, with_bounds: bool = False, parity: bool = False) -> DataFrame:
-    """key, node_id, line: one line per visible leaf and per scrollable node, in pre-order.
+#: What a rendered line takes of a node.
+LINE_COLUMNS = ["type", "text", "content_desc", "resource_id", "package", "class_label", "clickable", "scrollable", "bounds", "is_leaf", "visible", "inherited"]
 
-    with_bounds prints every leaf's bounds too. parity spells a container's description attribute
-    as the stored corpora have it, in two parts.
-    """
+
+def _is_shown(of: Callable[[str], Column]) -> tuple[Column, Column]:
+    """Whether a node is a visible leaf, and whether it scrolls."""
+    return of("is_leaf") & of("visible"), F.coalesce(of("scrollable") == "true", F.lit(False))
+
+
+def _line(of: Callable[[str], Column], with_bounds: bool, parity: bool) -> Column:
     attr = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f' {name}="'), c, F.lit('"'))).otherwise("")
-    flat = lambda c: F.replace(F.col(c), F.lit("\n"), F.lit(""))
-    tag = tag_of(F.col("type"))
-    clickable = F.when(F.col("inherited"), F.lit("true")).otherwise(F.col("clickable"))
-    leaf = F.col("is_leaf") & F.col("visible")
-    scrolls = F.coalesce(F.col("scrollable") == "true", F.lit(False))
-    bounds = F.when(scrolls | F.lit(with_bounds), attr("bounds", F.col("bounds"))).otherwise("")
-    line = F.concat(
-        F.lit("<"), tag, attr("id", F.col("resource_id")),
-        F.when(leaf, attr("package", F.col("package"))).otherwise(""),
-        attr("class", F.col("class_label")),
+    flat = lambda c: F.replace(of(c), F.lit("\n"), F.lit(""))
+    tag = tag_of(of("type"))
+    clickable = F.when(of("inherited"), F.lit("true")).otherwise(of("clickable"))
+    leaf, scrolls = _is_shown(of)
+    bounds = F.when(scrolls | F.lit(with_bounds), attr("bounds", of("bounds"))).otherwise("")
+    return F.concat(
+        F.lit("<"), tag, attr("id", of("resource_id")),
+        F.when(leaf, attr("package", of("package"))).otherwise(""),
+        attr("class", of("class_label")),
         F.when(leaf | F.lit(not parity), attr("description", flat("content_desc"))).otherwise(attr("descript  ion", flat("content_desc"))),
         attr("clickable", clickable),
-        F.when(scrolls, attr("scrollable", F.col("scrollable"))).otherwise(""), bounds,
+        F.when(scrolls, attr("scrollable", of("scrollable"))).otherwise(""), bounds,
         F.lit("> "), F.coalesce(flat("text"), F.lit("")), F.lit(" </"), tag, F.lit(">"),
     )
-    return nodes.filter(leaf | scrolls).select(key, "node_id", line.alias("line"))
+
+
+def rendered_lines(nodes: DataFrame, key: str, with_bounds: bool = False, parity: bool = False) -> DataFrame:
+    """key, node_id, line: one line per visible leaf and per scrollable node, in pre-order.
+
+    with_bounds prints every leaf's bounds too. parity spells a container's description attribute
+    as the stored corpora have it, in two parts.
+    """
+    leaf, scrolls = _is_shown(F.col)
+    return nodes.filter(leaf | scrolls).select(key, "node_id", _line(F.col, with_bounds, parity).alias("line"))
+
+
+def rendered_pages(pages: DataFrame, key: str, with_bounds: bool = False, parity: bool = False) -> DataFrame:
+    """key, html: pages_of() over rendered_lines(), of parsed_pages() with LINE_COLUMNS; a page without lines has no row."""
+
+    def shown(n: Column) -> Column:
+        leaf, scrolls = _is_shown(n.getField)
+        return leaf | scrolls
+
+    html = F.array_join(F.transform(F.filter("nodes", shown), lambda n: _line(n.getField, with_bounds, parity)), "\n")
+    return pages.filter(F.exists("nodes", shown)).select(key, F.concat(html, F.lit("\n")).alias("html"))
 
 
 def pages_of(lines: DataFrame, key: str) -> DataFrame:
@@ -202,6 +256,18 @@ def text_boxes(nodes: DataFrame, key: str, parity: bool = False) -> DataFrame:
     return parts.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.struct("node_id", "part")))["part"], "").alias("dump"))
 
 
+def page_text_boxes(pages: DataFrame, key: str, parity: bool = False) -> DataFrame:
+    """key, dump: text_boxes() of parsed_pages() with text, bounds and place."""
+    own = F.filter("nodes", lambda n: (F.coalesce(n["text"], F.lit("")) != "") & (F.coalesce(n["bounds"], F.lit("")) != ""))
+    line = lambda n: F.concat(F.lit("<ref>"), n["text"], F.lit("</ref><box>"), n["bounds"], F.lit("</box>"))
+
+    def part(n: Column, i: Column) -> Column:
+        below = n["place"].startswith(F.concat(F.get("own", i - 1)["place"], F.lit("/")))
+        return F.concat(F.when(i == 0, "").when(below & F.lit(parity), "").otherwise("\n"), line(n))
+
+    return pages.select(key, own.alias("own")).filter(F.size("own") > 0).select(key, F.array_join(F.transform("own", part), "").alias("dump"))
+
+
 def nested_dump(source: str | None) -> str | None:
     """Types, texts and boxes with children in brackets; outer empty brackets are taken off."""
     rows = node_rows(source)

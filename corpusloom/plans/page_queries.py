@@ -129,6 +129,10 @@ def _screen_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uitree.parsed(_screens(spark, sf_dir), "page_id", "xml")
 
 
+def _screen_pages(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    return uitree.parsed_pages(_screens(spark, sf_dir), "page_id", "xml", columns)
+
+
 @query(f"""
 with {_SCREENS}, p as (select distinct page_id, lit from i)
 select page_id, 0 as node_id, -1 as parent_id, 1 as depth, '' as place, 'hierarchy' as type, null as text, null as bounds, false as is_leaf, true as visible, false as inherited from p
@@ -150,17 +154,17 @@ from i group by page_id
 
 @query(_screen_html("''"))
 def xml_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return uitree.pages_of(uitree.rendered_lines(_screen_nodes(spark, sf_dir), "page_id"), "page_id")
+    return uitree.rendered_pages(_screen_pages(spark, sf_dir, uitree.LINE_COLUMNS), "page_id")
 
 
 @query(_screen_html("""' bounds="' || box || '"'"""))
 def xml_html_with_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return uitree.pages_of(uitree.rendered_lines(_screen_nodes(spark, sf_dir), "page_id", with_bounds=True), "page_id")
+    return uitree.rendered_pages(_screen_pages(spark, sf_dir, uitree.LINE_COLUMNS), "page_id", with_bounds=True)
 
 
 @query(f"with {_SCREENS} select page_id, string_agg('<ref>' || text || '</ref><box>' || box || '</box>', chr(10) order by k) as dump from i group by page_id")
 def xml_text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return uitree.text_boxes(_screen_nodes(spark, sf_dir), "page_id")
+    return uitree.page_text_boxes(_screen_pages(spark, sf_dir, ["text", "bounds", "place"]), "page_id")
 
 
 @query(f"""

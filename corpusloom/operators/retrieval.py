@@ -175,8 +175,18 @@ def line_sets(pages: DataFrame, text: Column) -> DataFrame:
     return pages.select("doc_id", distinct.alias("lines"), F.size(distinct).alias("n"))
 
 
+def _digests(lines: str) -> Column:
+    """Lines as 128 bits each, so that what is shuffled and sorted does not hold their texts."""
+    return F.transform(lines, lambda x: F.unhex(F.md5(x.cast("binary")))).alias(lines)
+
+
 def jaccard_pairs(sets: DataFrame, limit: float) -> DataFrame:
-    """a, b, common, jaccard of the pairs whose line sets are more alike than limit, exactly.
+    """a, b, common, jaccard of the pairs whose line sets are more alike than limit, exactly; lines are known by 128-bit digests."""
+    return _alike(written(sets.select("doc_id", _digests("lines"), "n"), "digests"), limit)
+
+
+def _alike(sets: DataFrame, limit: float) -> DataFrame:
+    """jaccard_pairs() of sets of digests.
 
     Lines are ordered by how few pages hold them; a pair above the limit shares a line among the rarest
     (1 - limit) share of either set, so only those lines are joined and boilerplate lines are not
@@ -185,7 +195,7 @@ def jaccard_pairs(sets: DataFrame, limit: float) -> DataFrame:
     lines = sets.select("doc_id", "n", F.explode("lines").alias("line"))
     df = lines.groupBy("line").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = lines.join(df, "line", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    order = Window.partitionBy("doc_id").orderBy("df", F.xxhash64("line"), "line")
+    order = Window.partitionBy("doc_id").orderBy("df", "line")
     prefix = ranked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * limit) + 1).filter("df > 1")
     p = prefix.select("doc_id", "n", "line")
     pairs = (
@@ -208,9 +218,9 @@ def jaccard_classes(sets: DataFrame, limit: float) -> DataFrame:
     Pages with equal sets are one class, named by its least doc_id; only classes meet. linked counts the other pages that are
     more alike than limit, copies included; which they are follows from jaccard_pairs() over the classes and the membership.
     """
-    keyed = sets.withColumn("cls", F.md5(F.to_json(F.array_sort("lines")).cast("binary")))
+    keyed = sets.select("doc_id", _digests("lines"), "n").withColumn("cls", F.md5(F.to_json(F.array_sort("lines")).cast("binary")))
     classes = written(keyed.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("lines").alias("lines"), F.first("n").alias("n")), "classes")
-    pairs = jaccard_pairs(classes.select(F.col("class_id").alias("doc_id"), "lines", "n"), limit).select("a", "b")
+    pairs = _alike(classes.select(F.col("class_id").alias("doc_id"), "lines", "n"), limit).select("a", "b")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sizes = classes.select(F.col("class_id").alias("b"), "copies")
     others = both.join(sizes, "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("copies").alias("others"))

@@ -29,13 +29,13 @@ def edges(log: DataFrame, who: str, node: str, seq: str) -> DataFrame:
     return log.select(F.lag(node).over(w).alias("src"), F.col(node).alias("dst")).filter("src is not null").distinct()
 
 
-def cumulative_paths(log: DataFrame, who: str, step: str, seq: str, most: int | None = None) -> DataFrame:
-    """who, seq, name: the path so far as segments joined by '_', one for every step or for the first `most`."""
+def cumulative_paths(log: DataFrame, who: str, step: str, seq: str, most: int | None = None, keep: list[str] = ()) -> DataFrame:
+    """who, seq, name and the columns in keep: the path so far as segments joined by '_', one for every step or for the first `most`."""
     w = Window.partitionBy(who).orderBy(seq)
     early = log if most is None else log.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     name = F.concat_ws("_", F.concat(F.lit("app"), F.col(who).cast("string"), F.lit("0")), F.array_join(F.collect_list(step).over(upto), "_"))
-    return early.select(who, seq, name.alias("name"))
+    return early.select(who, seq, name.alias("name"), *keep)
 
 
 def path_nodes(log: DataFrame, who: str, step: str, seq: str) -> DataFrame:
@@ -71,6 +71,16 @@ def held_by_ancestor(nodes: DataFrame, holds: DataFrame) -> DataFrame:
     return found.withColumn("hold", F.coalesce(F.col("page_id") >= F.col("since"), F.lit(False))).drop("since")
 
 
+def held_on_walks(log: DataFrame, who: str, seq: str, holds: Column) -> DataFrame:
+    """log with hold: the step itself or one before it of the same walk holds.
+
+    What held_by_ancestor() finds where every path is a walk's own, so that the paths above a step are those of the steps
+    before it: one running flag over the order that the paths take anyway, without a round of joins.
+    """
+    upto = Window.partitionBy(who).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    return log.withColumn("hold", F.coalesce(F.max(holds).over(upto), F.lit(False)))
+
+
 def segments(name: Column) -> Column:
     return F.split(name, "_")
 

@@ -200,12 +200,10 @@ select p.page_id, p.name, exists (select 1 from holds h where p.page_id >= h.sin
 from pages p
 """)
 def flag_hold_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that a hold on a page before them reaches, over the trie of paths; names are put to the pages at the end only."""
-    pages = _nodes(spark, sf_dir).groupBy("node").agg(F.min("event_id").alias("page_id"), F.first("parent").alias("parent"), F.first("steps").alias("depth"))
-    pages = written(pages, "pages")
-    held = graph.held_by_ancestor(pages, pages.filter("page_id % 5 = 0").select("node", F.col("page_id").alias("since")))
-    names = _paths(spark, sf_dir).select(F.col("event_id").alias("page_id"), "name")
-    return held.join(names, "page_id").select("page_id", "name", "hold")
+    """Pages that a hold on a page before them reaches: names begin with the walker, so the pages above one are the steps before it."""
+    held = graph.held_on_walks(_events(spark, sf_dir).select("user_id", "event_type", "event_id"), "user_id", "event_id", F.col("event_id") % 5 == 0)
+    paths = graph.cumulative_paths(held, "user_id", "event_type", "event_id", keep=["hold"])
+    return paths.select(F.col("event_id").alias("page_id"), "name", "hold")
 
 
 @query("""

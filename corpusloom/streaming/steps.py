@@ -1,6 +1,6 @@
 """Steps of walks kept up by a stream that may bring them late and in any order.
 
-Each walker's state is the map from sequence number to node. A step that arrives between two known ones changes two rows:
+Each walker's state is the list of its steps: one request to the store reads it and one appends what a batch brings, however many steps that is. A step that arrives between two known ones changes two rows:
 its own, which follows the step before it, and that of the step after it, which now follows the new one. Such rows
 go out with a version that grows with every batch of the walker, and the table of steps keeps the newest version of each, so it is
 the same whatever the order and the sizes of the batches. A batch reads the whole walk of those walkers that it has steps of.
@@ -18,7 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from corpusloom.streaming.upsert import latest, upsert_to
 
-#: Map and value state need this store.
+#: List state needs this store.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -26,11 +26,13 @@ class _Walks(StatefulProcessor):
     """Emits who, seq, src, node, version for every step that is new or has another step before it than it had."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.nodes = handle.getMapState("nodes", "seq bigint", "node string")
-        self.version = handle.getValueState("version", "version bigint")
+        self.steps = handle.getListState("steps", "seq bigint, node string, version bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = {int(k[0]): v[0] for k, v in self.nodes.iterator()}
+        known, version = {}, 1
+        for seq, node, held in self.steps.get():
+            known[int(seq)] = node
+            version = max(version, int(held) + 1)
         new: dict[int, str | None] = {}
         for batch in rows:
             for seq, node in zip(batch["seq"].tolist(), batch["node"].tolist()):
@@ -38,11 +40,7 @@ class _Walks(StatefulProcessor):
                     new.setdefault(int(seq), node)
         if not new:
             return
-        held = self.version.get()
-        version = (int(held[0]) if held else 0) + 1
-        self.version.update((version,))
-        for seq, node in new.items():
-            self.nodes.updateValue((seq,), (node,))
+        self.steps.appendList([(seq, node, version) for seq, node in new.items()])
         known |= new
         order = sorted(known)
         touched = set()

@@ -118,23 +118,27 @@ def sections(clicks: Column, inputs: Column, scrolls: Column) -> Column:
 
 
 def parsed_sections(text: Column, heads: dict[str, str]) -> Column:
-    """A map from section to its lines, from a text whose sections begin with a head line."""
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<struct<s:string,l:string>>").alias("got"))
+    """A map from section to its lines, from a text whose sections begin with a head line. A line is looked at once, whatever their number."""
 
-    def step(acc: Column, line: Column) -> Column:
+    def named(line: Column) -> Column:
         head = F.lit(None).cast("string")
         for mark, name in heads.items():
             head = F.when(line.startswith(mark), name).otherwise(head)
-        add = head.isNull() & (acc.now != "") & (stripped(line) != "")
-        got = F.when(add, F.concat(acc.got, F.array(F.struct(acc.now.alias("s"), stripped(line).alias("l"))))).otherwise(acc.got)
-        return F.struct(F.coalesce(head, acc.now).alias("now"), got.alias("got"))
+        return head
 
-    got = F.aggregate(F.split(text, "\n"), start, step, lambda acc: acc.got)
+    def cut(own: Column) -> Column:
+        """The lines from each head to the next."""
+        at = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.get(own, i)["head"].isNotNull())
+        end = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(own))
+        return let(at, lambda at: F.transform(at, lambda i, k: F.struct(F.get(own, i)["head"].alias("s"), F.slice(own, i + 2, end(at, k) - i - 1).alias("l"))))
 
-    def section(name: str) -> Column:
-        return F.transform(F.filter(got, lambda g: g.s == name), lambda g: g.l)
+    def of_name(parts: Column, name: str) -> Column:
+        own = F.flatten(F.transform(F.filter(parts, lambda p: (p.s == name) & (p.s != "")), lambda p: p.l))
+        return F.transform(F.filter(own, lambda x: x["line"] != ""), lambda x: x["line"])
 
-    return F.create_map(*[x for name in heads.values() for x in (F.lit(name), section(name))])
+    own = F.transform(F.split(text, "\n"), lambda x: F.struct(named(x).alias("head"), stripped(x).alias("line")))
+    parts = let(own, cut)
+    return let(parts, lambda p: F.create_map(*[x for name in heads.values() for x in (F.lit(name), of_name(p, name))]))
 
 
 def key_of(line: Column) -> Column:

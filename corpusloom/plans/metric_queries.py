@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import geometry, metrics
-from corpusloom.functions.text import words
+from corpusloom.functions.text import let, words
 from corpusloom.operators import corpus, elements
 from corpusloom.plans.catalog import query, spread, table
 
@@ -133,10 +133,14 @@ def section_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = i.groupBy("l_orderkey").agg(*[pick(k, said).alias(f"p{k}") for k in range(3)], *[pick(k, true).alias(f"t{k}") for k in range(3)])
     heads = {"clickable:": "0", "inputs:": "1", "scrollable:": "2"}
     text = lambda c: F.concat_ws("\n", *[x for k, head in enumerate(heads) for x in (F.lit(head), F.array_join(f"{c}{k}", "\n"))])
-    back = rows.select("l_orderkey", elements.parsed_sections(text("p"), heads).alias("p"), elements.parsed_sections(text("t"), heads).alias("t"))
-    pairs = [(F.col("p")[k], F.col("t")[k]) for k in heads.values()]
-    targets = sum((F.size(t) for _, t in pairs), F.lit(0))
-    return back.select("l_orderkey", targets.alias("targets"), F.round(metrics.pooled_recall(pairs), 6).alias("recall"))
+    back = F.struct(elements.parsed_sections(text("p"), heads).alias("p"), elements.parsed_sections(text("t"), heads).alias("t"))
+
+    def scored(both: Column) -> Column:
+        pairs = [(both["p"][k], both["t"][k]) for k in heads.values()]
+        targets = sum((F.size(t) for _, t in pairs), F.lit(0))
+        return F.struct(targets.alias("targets"), F.round(metrics.pooled_recall(pairs), 6).alias("recall"))
+
+    return rows.select("l_orderkey", let(back, scored).alias("s")).select("l_orderkey", "s.targets", "s.recall")
 
 
 @query(f"with {_SETS} select l_orderkey, part, round(case when len(t) > 0 then len(list_intersect(p, t)) / len(t) else 0 end, 6) as recall from c")

@@ -10,6 +10,7 @@ from corpusloom.functions.text import let, simple_upper
 from corpusloom.operators import corpus, graph
 from corpusloom.plans.catalog import query, spread, table
 from corpusloom.sources.files import decoded_twice, encoded_twice
+from corpusloom.storage import small_batches
 
 HELD_OUT = ["src1", "src7"]
 MAX_LEN = 128
@@ -153,6 +154,7 @@ BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 def vocabulary_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_LEVEL) -> DataFrame:
     """Whole documents in token ids and back: the bytes of their ids, and the text that these make."""
     known = bpe.read(vocabulary)
+    small_batches(spark)
     rows = spread(_docs(spark, sf_dir)).select("doc_id", known.ids(F.col("text")).alias("ids"))
     text = known.text_of(F.col("ids"))
     return rows.select("doc_id", text.alias("text")).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -166,6 +168,7 @@ select conv_id, 'system' || chr(10) || 'You are a helpful assistant.' || chr(10)
 def chatml_vocabulary(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_LEVEL) -> DataFrame:
     """Training rows in ids of a vocabulary, neither cut nor filled up, read back: all that is said, and what is learned from."""
     known = bpe.read(vocabulary)
+    small_batches(spark)
     rows = corpus.chat_token_ids(spread(table(spark, sf_dir, "conversations")), "conv_id", "turn", "role", "text", None, known)
     return rows.select("conv_id", known.text_of(F.col("input_ids")).alias("said"), known.text_of(F.col("labels")).alias("learned"))
 

@@ -303,6 +303,15 @@ def tree_metrics(nodes: DataFrame, key: str) -> DataFrame:
     return nodes.groupBy(key).agg(F.count("*").alias("n_nodes"), F.sum(F.col("is_leaf").cast("long")).alias("n_leaves"), F.max("depth").alias("max_depth"))
 
 
+#: Nodes that a task of the comparisons of trees gets.
+NODES_A_TASK = 1 << 18
+
+
+def _tasks(nodes: DataFrame) -> int:
+    """As many tasks as keep one at NODES_A_TASK, so that its memory does not grow with the table; no fewer than Spark would take."""
+    return max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // NODES_A_TASK))
+
+
 def tree_difference(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """a, b, unmatched, difference: nodes whose place only one tree has, over the mean number of nodes.
 
@@ -311,9 +320,10 @@ def tree_difference(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """
     size = nodes.groupBy(key).agg(F.count("*").alias("n"))
     wanted = pairs.select("a", "b").distinct()
-    one = nodes.select(F.col(key).alias("a"), "place")
-    two = nodes.select(F.col(key).alias("b"), "place")
-    both = wanted.join(one, "a").join(two, ["b", "place"]).groupBy("a", "b").agg(F.count("*").alias("both"))
+    n = _tasks(nodes)
+    one = nodes.select(F.col(key).alias("a"), "place").repartition(n, "a")
+    two = nodes.select(F.col(key).alias("b"), "place").repartition(n, "b", "place")
+    both = wanted.repartition(n, "a").join(one, "a").repartition(n, "b", "place").join(two, ["b", "place"]).groupBy("a", "b").agg(F.count("*").alias("both"))
     sized = (
         wanted.join(both, ["a", "b"], "left")
         .join(size.select(F.col(key).alias("a"), F.col("n").alias("na")), "a", "left")
@@ -331,12 +341,14 @@ def child_count_delta(pairs: DataFrame, nodes: DataFrame, key: str, stop: int |
     Pairs without a place in common, as where a page cannot be parsed, have 0. With stop the sum goes in pre-order
     and ends at the first place where it has reached stop, as a comparison that is broken off there.
     """
-    kids = nodes.groupBy(key, F.col("parent_id").alias("node_id")).agg(F.count("*").alias("kids")).filter("node_id is not null")
-    full = nodes.select(key, "node_id", "place").join(kids, [key, "node_id"], "left").select(F.col(key).alias("k"), "place", F.coalesce("kids", F.lit(0)).alias("kids"))
-    one = full.select(F.col("k").alias("a"), "place", F.col("kids").alias("ka"))
-    two = full.select(F.col("k").alias("b"), "place", F.col("kids").alias("kb"))
+    n = _tasks(nodes)
+    above = nodes.select(key, F.col("parent_id").alias("node_id")).filter("node_id is not null").repartition(n, key, "node_id")
+    kids = above.groupBy(key, "node_id").agg(F.count("*").alias("kids"))
+    full = nodes.select(key, "node_id", "place").repartition(n, key, "node_id").join(kids, [key, "node_id"], "left").select(F.col(key).alias("k"), "place", F.coalesce("kids", F.lit(0)).alias("kids"))
+    one = full.select(F.col("k").alias("a"), "place", F.col("kids").alias("ka")).repartition(n, "a")
+    two = full.select(F.col("k").alias("b"), "place", F.col("kids").alias("kb")).repartition(n, "b", "place")
     wanted = pairs.select("a", "b").distinct()
-    met = wanted.join(one, "a").join(two, ["b", "place"]).select("a", "b", "place", F.abs(F.col("ka") - F.col("kb")).alias("d"))
+    met = wanted.repartition(n, "a").join(one, "a").repartition(n, "b", "place").join(two, ["b", "place"]).select("a", "b", "place", F.abs(F.col("ka") - F.col("kb")).alias("d"))
     if stop is not None:
         # Pre-order: child indexes compared as numbers, a place before those below it.
         steps = F.transform(F.filter(F.split("place", "/"), lambda s: s != ""), lambda s: s.cast("int"))

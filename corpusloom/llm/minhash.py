@@ -162,7 +162,7 @@ def links(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, Da
     )
     members = nodes.select("node", F.explode("keys").alias("key"))
     often = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    shared = stash(members.join(often, "key", "left_semi"), "shared")
+    shared = stash(N.merged(stash(members.join(often, "key", "left_semi"), "shared")), "merged")
     roots = N.components(shared, nodes.select("node", "size", "sig"), _close(PER_CENT / 100 - SLACK), lambda wanted: full_sets(wanted, nodes, slim, words))
     return signed, nodes, roots
 

@@ -4,9 +4,9 @@ A class is a set of shingles that one or more documents have; its node is a 128-
 give each class keys such that linked classes share one, and a cheap test that no linked pair fails (or fails
 with a stated probability); here candidates become links that are confirmed on full sets, and links become components.
 
-Candidates come from stars: members of a key are compared with a few of the key's members, never all with all. Only
-where a key still holds several components are members of different components compared, inside a join that makes
-rows for links alone; such a key is split by set size (similar sets have similar sizes) and, beyond SPLIT members,
+Keys of the same members are one. Candidates come from stars: members of a key are compared with a few of the key's members, never
+all with all, inside a join that makes rows for likely pairs alone. Only where a key still holds several components are members
+of different components compared, inside such a join too; such a key is split by set size (similar sets have similar sizes) and, beyond SPLIT members,
 dealt out to several tasks. Keys, centres and components that hold a thousandth of all rows or more are joined by
 broadcast or dealt out with copies of their one partner row.
 """
@@ -72,6 +72,16 @@ def confirmed(pairs: DataFrame, made: Sets) -> DataFrame:
     return both.filter(similar(F.col("a"), F.col("b"))).select("u", "v")
 
 
+def merged(shared: DataFrame) -> DataFrame:
+    """key, node: one key in place of all those that the same classes have, which would bring the same pairs.
+
+    The new key is a hash of its members; where two sets of members have one hash, the key has the members of both, so no pair is lost.
+    """
+    keys = stash(shared.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("same"), F.count("*").alias("times")), "keys")
+    rows = keys.agg(F.sum("times")).first()[0]
+    return split_join(shared, keys, ["key"], frequent_from(rows or 1)).select(F.col("same").alias("key"), "node").distinct()
+
+
 def placed(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     """key, node, root of the shared keys' members."""
     if roots is None:
@@ -79,21 +89,45 @@ def placed(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     return stash(shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
 
 
-def still_open(members: DataFrame, centres: int) -> DataFrame:
-    """Those members whose key holds more than one component, with held (the key's members) and c (some of them, by as many hashes)."""
-    chosen = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")) for k in range(centres)]
+def still_open(members: DataFrame, centres: range) -> DataFrame:
+    """Those members whose key holds more than one component, with held (the key's members) and centre.
+
+    A key's centres are those of its members that have the least of a hash; each number in centres stands for another hash.
+    """
+    hashes = [F.xxhash64("node", F.lit(k)) for k in centres]
     keys = stash(
-        members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("held"), F.array_distinct(F.array(*chosen)).alias("c"))
-        .filter("lo < hi").select("key", "held", F.col("held").alias("times"), "c"), "open",
+        members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("held"), *[F.min(h).alias(f"h{k}") for k, h in zip(centres, hashes)])
+        .filter("lo < hi").withColumn("times", F.col("held")).drop("lo", "hi"), "open",
     )
     rows = keys.agg(F.sum("held")).first()[0]
-    return split_join(members, keys, ["key"], frequent_from(rows or 1))
+    centre = F.lit(False)
+    for k, h in zip(centres, hashes):
+        centre = centre | (h == F.col(f"h{k}"))
+    return split_join(members, keys, ["key"], frequent_from(rows or 1)).select("key", "node", "root", "held", centre.alias("centre"))
 
 
 def stars(open_: DataFrame) -> DataFrame:
-    """u, v: each member of a key with the key's centres of other components."""
-    pairs = open_.select("node", "root", F.explode("c").alias("c")).filter(F.col("root") != F.col("c.root"))
-    return pairs.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
+    """The centres among the members of open keys."""
+    return open_.filter("centre")
+
+
+def met(open_: DataFrame, signed: DataFrame, close: Column) -> DataFrame:
+    """u, v: the members of a key with those of the key's centres that are in other components and pass the cheap test.
+
+    The test is a condition of the join, so that no row is made for a pair that fails it. The centres of frequent keys are broadcast.
+    """
+    least = frequent_from(open_.count())
+    often = F.col("held") >= least
+    with_signs = lambda rows: rows.select("key", "node", "root").join(signed, "node")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & close
+    centres = stars(open_)
+    pairs = with_signs(open_.filter(~often)).alias("x").join(with_signs(centres.filter(~often)).alias("y"), meet)
+    pairs = pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+    hot = stash(with_signs(centres.filter(often)), "hot")
+    if not hot.isEmpty():
+        some = with_signs(open_.filter(often)).alias("x").join(F.broadcast(hot).alias("y"), meet)
+        pairs = pairs.unionByName(some.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")))
+    return pairs.distinct()
 
 
 def likely(pairs: DataFrame, signed: DataFrame, close: Column) -> DataFrame:
@@ -159,20 +193,20 @@ def components(
 ) -> DataFrame | None:
     """node, root of the classes that are linked with others and are not the least of their component; None: no two are linked.
 
-    shared: key, node of the keys that several classes have; signed: node, size and what close looks at, as x and y;
+    shared: key, node of the keys that several classes have, as merged() gives them; signed: node, size and what close looks at, as x and y;
     sets_of: node, hashes of the nodes asked for; many_keys: see likely_across(); finer: a larger table as signed and a second exact
     test over it, for the pairs that pass the first, before full sets are sent for them. Stars first, from one centre and then from several, as they cost no
     more than their rows; then every pair of members that are still in different components.
     """
     sets, roots = Sets(sets_of), None
-    for centres in (1, CENTRES, 0):
+    for centres in (range(1), range(1, 1 + CENTRES), range(0)):
         mark = stashes_made()
         members = placed(shared, roots)
-        open_ = stash(still_open(members, max(centres, 1)), "members")
+        open_ = stash(still_open(members, centres), "members")
         if open_.isEmpty():
             break
         if centres or many_keys:
-            pairs = stash(likely(stash(stars(open_), "stars"), signed, close) if centres else likely_across(open_, signed, close), "pairs")
+            pairs = stash(met(open_, signed, close) if centres else likely_across(open_, signed, close), "pairs")
             if finer is not None:
                 pairs = stash(likely(pairs, *finer), "finer")
             release_stashes(mark, stashes_made() - 1)  # the pairs are all that is needed of the members
@@ -191,7 +225,7 @@ def components(
 
 def all_links(shared: DataFrame, signed: DataFrame, close: Column, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """u, v: every link between two classes; the result itself may be as large as the square of a group."""
-    open_ = stash(still_open(placed(shared, None), 1), "members")
+    open_ = stash(still_open(placed(shared, None), range(0)), "members")
     pairs = stash(likely_across(open_, signed, close), "pairs")
     return confirmed(pairs, Sets(sets_of))
 

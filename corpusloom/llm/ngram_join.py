@@ -213,7 +213,7 @@ def _keyed(words: int):
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The signed documents, their classes (node, rep, times, size, sig, wide) and key, node of the keys that several classes have."""
+    """The signed documents, their classes (node, rep, times, size, sig, wide) and key, node of the keys that several classes have, equal keys merged."""
     small_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text")
     signed = stash(slim.mapInArrow(_signed(words), _SIGNED.format(id=docs.schema["doc_id"].dataType.simpleString())), "signed")
@@ -227,7 +227,9 @@ def signatures(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFram
     of_key = Window.partitionBy("key")
     rows = docs.select("text").mapInArrow(_keyed(words), "key long, short long")
     shared = rows.select("key", "short", F.min("short").over(of_key).alias("lo"), F.max("short").over(of_key).alias("hi")).filter("lo < hi")
-    shared = stash(shared.select("key", "short").distinct(), "shared")
+    shared = shared.select("key", "short").distinct()
+    # As near_links.merged() does, within the shuffle that there is: one key for all that the same classes have.
+    shared = stash(shared.select(F.bit_xor(F.xxhash64("short")).over(of_key).alias("key"), "short").distinct(), "shared")
     drop_shuffles(docs.sparkSession)
     named = stash(shared.join(nodes.select("node", "short"), "short").select("key", "node"), "members")
     return signed, nodes, named

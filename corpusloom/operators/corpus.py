@@ -109,13 +109,13 @@ def byte_ids(text: Column) -> Column:
 def chat_ids(
     talks: DataFrame, key: str, max_len: int | None, literal: Callable[[str], Column] = lambda s: byte_ids(F.lit(s)),
     of_turn: Callable[[Column, str], Column] = lambda t, field: byte_ids(t[field]), start: int = 256, end: int = 257, pad: int = 258,
-    system: str = "You are a helpful assistant.",
+    system: str = "You are a helpful assistant.", cut: bool = True,
 ) -> DataFrame:
     """key, input_ids, labels, attention_mask: chat_rows() in token ids, IGNORE where training does not look.
 
     literal gives the ids of the format's own texts, of_turn those of a turn's role (from) and text (value); bytes by default. start
     and end are the marks around a turn, pad fills up. The newline is a token of the text's own. Without max_len rows are
-    neither cut nor filled up.
+    neither cut nor filled up; with it they are filled up to it, and longer ones are cut unless cut is False.
     """
     one = lambda v: F.array(F.lit(v))
     line = literal("\n")
@@ -137,7 +137,8 @@ def chat_ids(
         full = lambda c, fill: c
     else:
         room = F.greatest(F.lit(max_len) - F.size("i"), F.lit(0))
-        full = lambda c, fill: F.slice(F.concat(c, F.array_repeat(F.lit(fill), room)), 1, max_len)
+        filled_up = lambda c, fill: F.concat(c, F.array_repeat(F.lit(fill), room))
+        full = lambda c, fill: F.slice(filled_up(c, fill), 1, max_len) if cut else filled_up(c, fill)
     rows = made.select(key, full(F.col("i"), pad).alias("input_ids"), full(F.col("l"), IGNORE).alias("labels"))
     return rows.withColumn("attention_mask", F.transform("input_ids", lambda t: t != pad))
 

@@ -362,6 +362,7 @@ def node_child_delta_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uitree.child_count_delta(_node_pairs(spark, sf_dir), _nodes(spark, sf_dir), "page", stop=3)
 
 
+#: Rows are filled up to this many ids; longer ones stay whole.
 _CHAT = 96
 
 
@@ -376,13 +377,13 @@ h as (select list_concat([256], list_transform(regexp_extract_all(hex(encode('sy
 a as (select c.conv_id, list_concat((select s from h), [257, 10], coalesce((select flatten(list(i order by k)) from p where p.conv_id = c.conv_id), [])) as i,
         list_concat([256], list_transform(range(1, (select len(s) from h)), lambda x: -100), [257, 10], coalesce((select flatten(list(l order by k)) from p where p.conv_id = c.conv_id), [])) as l
       from (select distinct conv_id from conversations) c)
-select conv_id, array_to_string(list_concat(i[:{_CHAT}], list_transform(range(0, greatest({_CHAT} - len(i), 0)), lambda x: 258)), ',') as input_ids,
-       array_to_string(list_concat(l[:{_CHAT}], list_transform(range(0, greatest({_CHAT} - len(l), 0)), lambda x: -100)), ',') as labels, cast(least(len(i), {_CHAT}) as int) as attended from a
+select conv_id, array_to_string(list_concat(i, list_transform(range(0, greatest({_CHAT} - len(i), 0)), lambda x: 258)), ',') as input_ids,
+       array_to_string(list_concat(l, list_transform(range(0, greatest({_CHAT} - len(l), 0)), lambda x: -100)), ',') as labels, cast(len(i) as int) as attended from a
 """)
 def chatml_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training rows in token ids, over the bytes of the texts."""
+    """Training rows in token ids, over all bytes of the texts."""
     talks = corpus.conversation(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
-    rows = corpus.chat_ids(talks, "conv_id", _CHAT)
+    rows = corpus.chat_ids(talks, "conv_id", _CHAT, cut=False)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return rows.select("conv_id", text("input_ids").alias("input_ids"), text("labels").alias("labels"), F.size(F.filter("attention_mask", lambda m: m)).alias("attended"))
 
